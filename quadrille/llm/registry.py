@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Query modules; each has QUERIES and may have ORACLES.
-MODULES = ["byte_bpe_query"]
+MODULES = ["toxicity_query", "language_id_query", "byte_bpe_query"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
