@@ -38,7 +38,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share. Only a local session may go without the setting."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if path:
-        return path.rstrip("/")
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        full = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+        return re.sub(r"^file:/(?!/)", "file:///", full).rstrip("/")
     if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     path = "file://" + tempfile.mkdtemp(prefix="quadrille-")
