@@ -1,16 +1,73 @@
-"""The corpus pipeline: stages of the training-data operators, applied to documents in order."""
+"""The corpus pipeline: five training-data operators applied to documents in order.
+
+``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and returns a table with
+the columns of documents, the last one the encoded documents. ``run`` applies them one after another.
+Every stage works on all rows its predecessor kept.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from quadrille.llm import byte_bpe, language_id, minhash, mixing, toxicity
+from quadrille.llm.common import crc_mod, stored, table
 
+#: The pipeline has no SQL form: compression, learned lexicons and hashes drive its stages. The tests
+#: hold it against a brute-force version instead.
 ORACLE_SQL = None
 
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised clearly."""
+    content = language_id.learn(docs, crc_mod(docs["doc_id"], 4) != 2)
+    return language_id.filter_identified(docs, content)
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity grammar scores below its threshold."""
+    labels = table(spark, sf_dir, "labels")
+    return toxicity.filter_toxic(docs, toxicity.learn(docs, labels, crc_mod(labels["doc_id"], 3) != 1))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8)."""
+    gone = minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix takes it."""
+    taken = mixing.mix(docs).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"))
+    taken = stored(taken.select(*(F.col(c).alias(f"mix_{c}") for c in taken.columns)), "copies")
+    same = (
+        docs["doc_id"].eqNullSafe(taken["mix_doc_id"])
+        & docs["source"].eqNullSafe(taken["mix_source"])
+        & (mixing.word_count(docs["text"]) == taken["mix_size"])
+    )
+    repeated = docs.join(taken, same).select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("mix_copy"))
+    return repeated.select(docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids (little-endian unsigned 32-bit) of every document, with the digests of both directions."""
+    return byte_bpe.tokenize(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, with_ids=True)
+
+
+STAGES = [
+    ("language", identify_language),
+    ("toxicity", reject_toxic),
+    ("near duplicates", drop_near_duplicates),
+    ("mixing", mix_sources),
+    ("encoding", encode),
+]
+
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -33,9 +33,13 @@ from .components import components
 
 HALVES, ROWS = 10, 3
 HASHES = 2 * HALVES * ROWS
-#: Smallest number of equal minhashes (as bytes) a candidate must have: 51 are expected at 0.85,
-#: with a standard deviation of 2.8.
-AGREE = 36
+
+
+def least_agreement(percent: int) -> int:
+    """Smallest number of equal minhashes a candidate must have: 5.2 deviations below the mean."""
+    s = percent / 100
+    return int(HASHES * s - 5.2 * (HASHES * s * (1 - s)) ** 0.5)
+
 
 _rng = np.random.default_rng(20240607)
 _mul = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -137,6 +141,7 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFr
 
 def agreeing(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose sizes and sketches allow the similarity."""
+    least = least_agreement(percent)
     side = reps.select("id", "n", "sketch")
     a, b = (side.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
     sized = pairs.join(a, "a").join(b, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
@@ -145,7 +150,7 @@ def agreeing(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(-1, HASHES) for i in (2, 3))
-                keep = pa.array((x == y).sum(axis=1) >= AGREE)
+                keep = pa.array((x == y).sum(axis=1) >= least)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(keep)
 
     return sized.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
