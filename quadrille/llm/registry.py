@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Query modules; each has QUERIES and may have ORACLES.
-MODULES = ["toxicity_query", "license_scan_query", "language_id_query", "media_query", "mixing_query", "embedding_dedup_query", "byte_bpe_query", "minhash_query", "warc_query"]
+MODULES = ["toxicity_query", "license_scan_query", "language_id_query", "media_query", "mixing_query", "embedding_dedup_query", "byte_bpe_query", "minhash_query", "quality_query", "warc_query"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
