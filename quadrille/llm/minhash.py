@@ -4,14 +4,18 @@ Two small collections of minhash bands are computed for a document, HALVES bands
 each. A table's key combines band i of the first with band j of the second, so HALVES ** 2 tables
 come from only 2 * HALVES * ROWS minhashes. A pair meets in some table unless all bands of one
 collection differ: with similarity s that has probability at most 2 * (1 - s ** ROWS) ** HALVES,
-1.5e-4 at s = 0.85 (and far less above).
+1.8e-3 at s = 0.85 and 4e-5 at 0.9. Five values a band keep texts that only share a passage apart: at
+s = 0.4 a pair meets with probability 0.014.
 
 1. Equal shingle sets are one class, whose smallest id represents it; only representatives go on.
 2. Every table entry proposes a link to the smallest and the largest id of its bucket. Proposals are
    verified on full sets and contracted to components. A bucket whose entries then belong to one
    component is done, however large it is.
-3. In the buckets that are left, entries outside the bucket's largest component meet all entries of
-   other components. Pairs that agree in too few minhashes or differ too much in size are dropped
+3. In the buckets that are left, entries outside the bucket's largest component propose links to a
+   member of it drawn by hash, a different one in each table, which joins what a chance leader missed.
+4. In the buckets that are still left, entries outside the largest component meet all entries of other
+   components; in buckets of more than SMALL entries in blocks, whose pairs never become rows: a
+   group of two blocks gives verified links only. Pairs that agree in too few minhashes or differ too much in size are dropped
    (the agreement bound lies five standard deviations below the threshold); the others are verified
    on full sets and the links contracted again.
 
@@ -23,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -31,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import TEXT_ROWS, discard, spaced_words, stored
 from .components import components
 
-HALVES, ROWS = 10, 3
+HALVES, ROWS = 12, 5
 HASHES = 2 * HALVES * ROWS
 
 
@@ -41,12 +46,15 @@ def least_agreement(percent: int) -> int:
     return int(HASHES * s - 5.2 * (HASHES * s * (1 - s)) ** 0.5)
 
 
+#: Entries up to which a bucket's open pairs are listed, and entries in a block of larger ones.
+SMALL, BLOCK = 24, 512
+
 _rng = np.random.default_rng(20240607)
-_mul = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_add = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
+_mul = (_rng.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
+_add = _rng.integers(0, 2**32, HASHES, dtype=np.uint32)[:, None]
 _W = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 _MEMO = 500_000
-_BLOCK = 16_384
+_BLOCK = 2048
 
 
 class WordHashes(dict):
@@ -81,13 +89,11 @@ def shingle_set(text: str | None, words_in: int, memo: WordHashes) -> np.ndarray
 
 def minhashes(shingles: np.ndarray) -> np.ndarray:
     """HASHES minima, in blocks so that long texts need little memory."""
-    best = np.full(HASHES, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(shingles), _BLOCK):
-        part = shingles[at : at + _BLOCK]
-        for k in range(HASHES):
-            value = part * _mul[k] + _add[k]
-            best[k] = min(best[k], (value ^ (value >> np.uint64(32))).min())
-    return mix(best)
+    best = np.full(HASHES, 0xFFFFFFFF, dtype=np.uint32)
+    low = (shingles >> np.uint64(32)).astype(np.uint32)  # well mixed, so a linear map a function will do
+    for at in range(0, len(low), _BLOCK):
+        np.minimum(best, (low[None, at : at + _BLOCK] * _mul + _add).min(axis=1), out=best)
+    return mix(best.astype(np.uint64) + np.arange(HASHES, dtype=np.uint64) * _W[1])
 
 
 SKETCH = "id long, n long, digest binary, bands array<long>, sketch binary"
@@ -156,6 +162,47 @@ def agreeing(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return sized.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def block_links(entries: DataFrame, reps: DataFrame, sets_of, percent: int) -> DataFrame:
+    """Verified links (a, b) between components of large buckets.
+
+    Large buckets that share entries are one cluster, so a pair is compared once and not once a table.
+    A cluster is dealt to blocks; a group holds two of them with their full sets, compares sizes and
+    sketches first and then the sets, and gives for each entry one link to each other component.
+    """
+    least = least_agreement(percent)
+    hub = entries.groupBy("key").agg(F.min("id").alias("hub"))
+    cluster = components(entries.join(hub, "key").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
+    own = stored(entries.select("id", "c").distinct().join(cluster.withColumnRenamed("component", "cluster"), "id"), "clusters")
+    blocks = F.ceil(F.col("members") / BLOCK)
+    counted = own.join(own.groupBy("cluster").agg(F.count("*").alias("members")), "cluster").withColumn("block", F.pmod(F.xxhash64("id"), blocks))
+    rows = counted.join(reps.select("id", F.col("n").alias("size"), "sketch"), "id").join(sets_of(own.select("id")), "id")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    rows = rows.select("cluster", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "id", "c", "size", "sketch", "shingles")
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        ids, c, size, block = (part[x].to_numpy() for x in ("id", "c", "size", "block"))
+        sketch = np.frombuffer(b"".join(part["sketch"]), dtype=np.uint8).reshape(-1, HASHES)
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in part["shingles"]]
+        one_block = part["b1"].iloc[0] == part["b2"].iloc[0]
+        found: list[tuple[int, int]] = []
+        for i in range(len(ids)):
+            other = (c != c[i]) & (ids < ids[i])
+            if not one_block:
+                other &= block != block[i]
+            near = np.flatnonzero(other & (np.minimum(size, size[i]) * 100 >= np.maximum(size, size[i]) * percent))
+            near = near[(sketch[near] == sketch[i]).sum(axis=1) >= least]
+            reached = set()
+            for k in near.tolist():
+                if c[k] not in reached:
+                    both = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
+                    if 100 * both >= percent * (size[i] + size[k] - both):
+                        reached.add(c[k])
+                        found.append((ids[i], ids[k]))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return rows.groupBy("cluster", "b1", "b2").applyInPandas(compare, "a long, b long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs with 100 * |intersection| >= percent * |union|, counted on full sets."""
     a, b = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
@@ -187,39 +234,56 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = linked.groupBy("digest").agg(F.min("id").alias("rep"))
     reps = stored(linked.join(classes, [linked["digest"] == classes["digest"], linked["id"] == classes["rep"]], "left_semi").dropDuplicates(["id", "digest"]), "reps")
     keys = reps.select("id", F.posexplode(F.slice("bands", 1, HALVES)).alias("i", "x"), F.slice("bands", HALVES + 1, HALVES).alias("second"))
-    keys = keys.select("id", "i", "x", F.posexplode("second").alias("j", "y")).select("id", F.xxhash64("i", "j", "x", "y").alias("key"))
+    keys = keys.select("id", "i", "x", F.posexplode("second").alias("j", "y")).select("id", "i", F.xxhash64("i", "j", "x", "y").alias("key"))
     shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
     entries = stored(keys.join(shared, "key"), "buckets")
-    star = entries.select(F.col("id").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b")
-    star = star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    star = stored(agreeing(star, reps, percent), "proposals")
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        return full_sets(docs.join(ids, "id", "left_semi").join(reps.select("id"), "id", "left_semi").dropDuplicates(["id"]), "id", "text", words)
-
-    first = stored(verified(star, sets_of(star), percent), "links")
-    found = components(first)
-    sized = found.join(found.groupBy("component").agg(F.count("*").alias("size")), "component")
-    named = entries.join(sized, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"), F.coalesce("size", F.lit(1)).alias("size"))
-    main = F.max(F.struct("size", "c"))["c"].alias("main")
-    open_keys = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), main).where("lo <> hi").select("key", "main")
-    left_over = stored(named.join(open_keys, "key"), "open")
-    few = left_over.where("c <> main").select("key", F.col("id").alias("a"), F.col("c").alias("ca"))
-    every = left_over.select("key", F.col("id").alias("b"), F.col("c").alias("cb"), "main")
-    more = few.join(every, "key").where("ca <> cb and (cb = main or a < b)")
-    more = more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    more = stored(agreeing(more.join(star, ["a", "b"], "left_anti"), reps, percent), "proposals")
-    second = stored(verified(more, sets_of(more), percent), "links")
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        texts = docs.join(ids.distinct(), "id", "left_semi").join(reps.select("id"), "id", "left_semi").dropDuplicates(["id"])
+        return full_sets(texts, "id", "text", words)
+
+    def links(proposed: DataFrame) -> DataFrame:
+        return stored(verified(proposed, sets_of(proposed.select(F.explode(F.array("a", "b")).alias("id"))), percent), "links")
+
+    def open_entries(where: DataFrame, found: DataFrame) -> DataFrame:
+        """Entries of buckets with several components, and each bucket's largest one."""
+        sized = found.join(found.groupBy("component").agg(F.count("*").alias("size")), "component")
+        named = where.join(sized, "id", "left").select("key", "i", "id", F.coalesce("component", "id").alias("c"), F.coalesce("size", F.lit(1)).alias("size"))
+        main = F.max(F.struct("size", "c"))["c"].alias("main")
+        drawn = F.min_by("id", F.xxhash64("id", "key"))
+        several = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("in_bucket"), main).where("lo <> hi").select("key", "main", "in_bucket")
+        inner = named.join(several, "key")
+        leader = inner.where("c = main").groupBy("key").agg(drawn.alias("leader"))
+        return stored(inner.join(leader, "key").select("key", "i", "id", "c", "main", "leader", "in_bucket"), "open")
+
+    star = stored(agreeing(ordered(entries.select(F.col("id").alias("a"), F.explode(F.array("low", "high")).alias("b"))), reps, percent), "proposals")
+    first = links(star)
+    some = open_entries(entries, components(first))
+    drawn = ordered(some.where((F.col("c") != F.col("main")) & (F.col("i") < HALVES // 2)).select(F.col("id").alias("a"), F.col("leader").alias("b")))
+    drawn = stored(agreeing(drawn.join(star, ["a", "b"], "left_anti"), reps, percent), "proposals")
+    second = links(drawn)
+    left_over = open_entries(some.select("key", "i", "id"), components(first.unionByName(second)))
+    small = left_over.where(F.col("in_bucket") <= SMALL)
+    few = small.where("c <> main").select("key", F.col("id").alias("a"), F.col("c").alias("ca"))
+    every = small.select("key", F.col("id").alias("b"), F.col("c").alias("cb"), "main")
+    more = ordered(few.join(every, "key").where("ca <> cb and (cb = main or a < b)").select("a", "b"))
+    more = stored(agreeing(more.join(star.unionByName(drawn), ["a", "b"], "left_anti"), reps, percent), "proposals")
+    linked_pairs = first.unionByName(second).unionByName(links(more))
+    large = left_over.where(F.col("in_bucket") > SMALL)
+    if not large.isEmpty():
+        linked_pairs = linked_pairs.unionByName(stored(block_links(large, reps, sets_of, percent), "links"))
     same = linked.join(classes, "digest").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     again = linked.groupBy("id").agg(F.count_distinct("digest").alias("d")).where("d > 1").limit(1)
-    discard(entries), discard(left_over)
+    discard(entries), discard(some), discard(left_over)
     if again.isEmpty():
         # ids have one text each: components over representatives, then copies follow their class
-        over = components(first.unionByName(second))
+        over = components(linked_pairs)
         top = classes.join(over, classes["rep"] == over["id"], "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
         done = rows.join(top, "digest", "left").select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
     else:
-        over = components(first.unionByName(second).unionByName(same.select("a", "b")))
+        over = components(linked_pairs.unionByName(same.select("a", "b")))
         done = rows.join(over, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component_id"))
     return done.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
