@@ -135,7 +135,7 @@ projected(
         "i": ("xsd:integer(?b)", "cast(trunc(c_acctbal) as bigint)"),
         "dbl": ("xsd:double(STR(?k))", "cast(c_custkey as double)"),
         "st": ("xsd:string(?k)", "cast(c_custkey as varchar)"),
-        "bo": ("xsd:boolean(?k)", "true"),
+        "bo": ("xsd:boolean(?k)", "c_custkey <> 0"),
         "bad": ("xsd:integer(?n)", "null"),
     },
     "c_custkey",
