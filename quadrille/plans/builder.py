@@ -22,6 +22,20 @@ class Builder:
     def __init__(self, store: Store, now: str, base: str = "", engine=None):
         self.store, self.now, self.base, self.engine = store, now, base, engine
 
+    def with_sides(self, s: Solutions, *expressions) -> Solutions:
+        """Join the side tables that search functions in the expressions read."""
+        from ..functions.search import sides_of
+
+        df = s.df
+        for side in dict.fromkeys(x for e in expressions for x in sides_of(e)):
+            if side.column(side.parts()[0]) in df.columns:
+                continue
+            table = self.engine.indexes[side.kind, side.index] if (side.kind, side.index) in self.engine.indexes else self.engine.indexes[side.index]
+            key = "_key_" + side.column()
+            right = table.select(F.col("s").alias(key), *(F.col(p).alias(side.column(p)) for p in side.parts()))
+            df = df.join(right, V.term(s.val(side.var)) == F.col(key), "left").drop(key)
+        return Solutions(df, s.reps, s.maybe)
+
     def compiler(self, scope: dict[str, Val], flags: dict | None = None) -> Compiler:
         return Compiler(scope, self.now, self.base, flags, self.engine)
 
@@ -69,6 +83,7 @@ class Builder:
 
     def _filtered(self, s: Solutions, condition, data: Dataset) -> Solutions:
         """Conjuncts one by one; EXISTS at the top is a semi or anti join, deeper a flag column."""
+        s = self.with_sides(s, condition)
         flags: dict[int, object] = {}
         plain = []
         for c in conjuncts(condition):
@@ -104,7 +119,7 @@ class Builder:
         return body, lambda scope: V.all_of([self.compiler(scope).condition(t) for t in tests])
 
     def _extend(self, n: A.Extend, data: Dataset) -> Solutions:
-        s = self.build(n.child, data)
+        s = self.with_sides(self.build(n.child, data), n.expr)
         flags, names = {}, []
         for e in exists_in(n.expr):
             body, tests = self.exists_body(e.pattern, s, data)
