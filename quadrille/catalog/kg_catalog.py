@@ -1,3 +1,60 @@
-"""Queries."""
+"""Entity, frame and relation queries over customers, orders and nations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..engine import Engine
+from ..functions import terms as T
+from ..operators import derived as D
+from ..operators import kgquery as K
+from ..sources.store import DEFAULT_GRAPH, QuadStore
 
 QUERIES, ORACLES = {}, {}
+
+
+def engine(spark, sf_dir) -> Engine:
+    """Customers are entities; an order is a frame with a total and a status slot; a customer's nation is
+    a relation."""
+    customer, orders, nation = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("customer", "orders", "nation"))
+    i = lambda x: F.lit(T.iri(x))
+    c = lambda prefix, col: F.concat(F.lit("I" + prefix), F.col(col).cast("string"))
+    text = lambda col: F.concat(F.lit("S"), F.col(col))
+
+    def made(df, triples):
+        rows = F.array(*(F.struct(s.alias("s"), p.alias("p"), o.alias("o")) for s, p, o in triples))
+        return df.select(F.explode(rows).alias("q")).select("q.*", F.lit(DEFAULT_GRAPH).alias("g"))
+
+    e, r = c("urn:customer:", "c_custkey"), c("urn:rel:", "c_custkey")
+    people = made(customer, [(e, i(T.RDF_TYPE), i(K.ENTITY)), (e, i(K.ENTITY_TYPE), c("urn:segment:", "c_mktsegment")), (e, i(D.NAME), text("c_name")), (r, i(D.EDGE_SOURCE), e), (r, i(D.EDGE_DEST), c("urn:nation:", "c_nationkey")), (r, i(K.RELATION_TYPE), i("urn:lives_in"))])
+    n = c("urn:nation:", "n_nationkey")
+    places = made(nation, [(n, i(T.RDF_TYPE), i(K.ENTITY)), (n, i(K.ENTITY_TYPE), i("urn:nation")), (n, i(D.NAME), text("n_name"))])
+    f, owner = c("urn:order:", "o_orderkey"), c("urn:customer:", "o_custkey")
+    ids = [c(f"urn:{x}:", "o_orderkey") for x in ("oe", "te", "se", "ts", "ss")]
+    total = F.concat(F.lit(f"T{T.XSD}double "), F.col("o_totalprice").cast("string"))
+    frames = made(
+        orders,
+        [(f, i(K.FRAME_TYPE), i("urn:OrderFrame")), (ids[0], i(D.EDGE_SOURCE), owner), (ids[0], i(D.EDGE_DEST), f), (ids[1], i(D.EDGE_SOURCE), f), (ids[1], i(D.EDGE_DEST), ids[3]), (ids[2], i(D.EDGE_SOURCE), f), (ids[2], i(D.EDGE_DEST), ids[4])]
+        + [(ids[3], i(D.SLOT_TYPE), i("urn:total")), (ids[3], i(K.VALUE_PROPERTIES[float]), total), (ids[4], i(D.SLOT_TYPE), i("urn:status")), (ids[4], i(K.VALUE_PROPERTIES[str]), text("o_orderstatus"))],
+    )
+    return Engine(QuadStore(people.unionByName(places).unionByName(frames)))
+
+
+def registered(name: str, run, oracle: str):
+    QUERIES[name], ORACLES[name] = (lambda spark, sf_dir: run(engine(spark, sf_dir))), oracle
+
+
+def order(*slots, **more):
+    return K.Frame("urn:OrderFrame", list(slots), **more)
+
+
+E = "select 'urn:customer:' || c_custkey as entity from customer where "
+registered("kg_entities_by_slot", lambda e: K.entities(e, K.EntityQuery("urn:segment:BUILDING", [order(K.Slot("urn:total", 300000.0, "gt"), K.Slot("urn:status", "F"))])), E + "c_mktsegment = 'BUILDING' and exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 300000 and o_orderstatus = 'F')")
+registered("kg_entities_negated", lambda e: K.entities(e, K.EntityQuery("urn:segment:MACHINERY", [order(K.Slot("urn:status", ["P"], "has_any"), negate=True)])), E + "c_mktsegment = 'MACHINERY' and not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P')")
+registered("kg_entities_page", lambda e: K.entities(e, K.EntityQuery("urn:segment:BUILDING", sort=[K.Sort(None, property=D.NAME, descending=True)], limit=10, offset=5)), E + "c_mktsegment = 'BUILDING' order by c_name desc, entity limit 10 offset 5")
+registered("kg_sorted_by_slot", lambda e: K.entities(e, K.EntityQuery("urn:segment:BUILDING", sort=[K.Sort("urn:OrderFrame", "urn:total", descending=True)], limit=5)), "select 'urn:customer:' || c_custkey as entity from customer join orders on o_custkey = c_custkey where c_mktsegment = 'BUILDING' group by c_custkey order by max(o_totalprice) desc, entity limit 5")
+registered("kg_name_contains", lambda e: K.entities(e, K.EntityQuery(name_contains="#00000012")), E + "c_name like '%#00000012%'")
+registered("kg_total_bounded", lambda e: K.total(e, K.EntityQuery("urn:segment:BUILDING"), "bounded", 20), "select least(count(*), 20) as total, count(*) > 20 as capped from customer where c_mktsegment = 'BUILDING'")
+REL = "select 'urn:customer:' || c_custkey as {a}, 'urn:rel:' || c_custkey as edge, 'urn:nation:' || c_nationkey as {b}, 'urn:lives_in' as relation_type from customer where c_mktsegment = 'BUILDING'"
+registered("kg_relations_out", lambda e: K.relations(e, K.RelationQuery("urn:lives_in", "out", K.EntityQuery("urn:segment:BUILDING"))), REL.format(a="source", b="destination"))
+registered("kg_relations_in", lambda e: K.relations(e, K.RelationQuery("urn:lives_in", "in", K.EntityQuery("urn:nation"), K.EntityQuery("urn:segment:BUILDING"))), REL.format(a="destination", b="source"))

@@ -68,8 +68,7 @@ def fusion_relative(spark, sf_dir):
 
 
 def fuzzy_duplicates(spark, sf_dir):
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
-    return fuzzy.duplicates(parts, 95.0, "p_partkey", "p_name")
+    return fuzzy.duplicates(spark.read.parquet(f"{sf_dir}/nation.parquet"), 80.0, "n_nationkey", "n_name")
 
 
 def fuzzy_find_similar(spark, sf_dir):
