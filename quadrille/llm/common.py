@@ -70,6 +70,12 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
 
 
+def reclaim(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished stages: it does so when the driver's JVM collects
+    the objects that stood for them, which a driver with much memory may put off for long."""
+    spark._jvm.System.gc()
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, UPPER, LOWER)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TEXT_ROWS, discard, spaced_words, stored
+from .common import TEXT_ROWS, discard, reclaim, spaced_words, stored
 from .components import components
 
 HALVES, ROWS = 12, 5
@@ -47,7 +47,7 @@ def least_agreement(percent: int) -> int:
 
 
 #: Entries up to which a bucket's open pairs are listed, and entries in a block of larger ones.
-SMALL, BLOCK = 24, 512
+SMALL, BLOCK = 8, 512
 
 _rng = np.random.default_rng(20240607)
 _mul = (_rng.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -237,6 +237,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = keys.select("id", "i", "x", F.posexplode("second").alias("j", "y")).select("id", "i", F.xxhash64("i", "j", "x", "y").alias("key"))
     shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
     entries = stored(keys.join(shared, "key"), "buckets")
+    reclaim(docs.sparkSession)  # the tables' shuffles are the largest; nothing reads them any more
 
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -265,6 +266,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     drawn = ordered(some.where((F.col("c") != F.col("main")) & (F.col("i") < HALVES // 2)).select(F.col("id").alias("a"), F.col("leader").alias("b")))
     drawn = stored(agreeing(drawn.join(star, ["a", "b"], "left_anti"), reps, percent), "proposals")
     second = links(drawn)
+    reclaim(docs.sparkSession)
     left_over = open_entries(some.select("key", "i", "id"), components(first.unionByName(second)))
     small = left_over.where(F.col("in_bucket") <= SMALL)
     few = small.where("c <> main").select("key", F.col("id").alias("a"), F.col("c").alias("ca"))
