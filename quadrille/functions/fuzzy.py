@@ -83,9 +83,14 @@ def typo_variants(word: str) -> set[str]:
     return out - {word}
 
 
+def signed(names: DataFrame, name: str) -> DataFrame:
+    """The table with its signatures, in steps, so that each is computed once for all bands."""
+    return names.withColumn("_grams", shingles(F.col(name))).withColumn("_signature", minhash(F.col("_grams"))).drop("_grams")
+
+
 def band_index(names: DataFrame, key: str = "id", name: str = "name") -> DataFrame:
     """(band, hash, id): the LSH index of a table of names."""
-    rows = names.select(F.col(key).alias("id"), F.explode(bands(minhash(shingles(F.col(name))))).alias("b"))
+    rows = signed(names, name).select(F.col(key).alias("id"), F.explode(bands(F.col("_signature"))).alias("b"))
     return rows.select("b.band", "b.hash", "id")
 
 
@@ -94,11 +99,12 @@ def find_similar(names: DataFrame, query: str, least: float = 70.0, key: str = "
     typo variant, then scored, with 10 points (100 at most) for an equal phonetic code."""
     spark = names.sparkSession
     asked = spark.createDataFrame([(0, query)], "id int, name string")
-    hit = F.exists(bands(minhash(shingles(F.col(name)))), lambda b: F.array_contains(F.col("_q"), b))
+    hit = F.arrays_overlap(F.col("_bands"), F.col("_q"))
     sounds = F.arrays_overlap(phonetic(F.col(name)), F.col("_p"))
     variants = F.lower(F.col(name)).isin(*sorted(v for w in _tokens(query) for v in typo_variants(w))[:2000]) if _tokens(query) else F.lit(False)
-    one = asked.select(bands(minhash(shingles(F.col("name")))).alias("_q"), phonetic(F.col("name")).alias("_p"))
-    rows = names.crossJoin(F.broadcast(one)).where(hit | sounds | variants)
+    one = signed(asked, "name").select(bands(F.col("_signature")).alias("_q"), phonetic(F.col("name")).alias("_p"))
+    banded = signed(names, name).withColumn("_bands", bands(F.col("_signature")))
+    rows = banded.crossJoin(F.broadcast(one)).where(hit | sounds | variants)  # the query is one row
     score = F.least(F.lit(100.0), name_score(F.col(name), F.lit(query)) + F.when(sounds, 10.0).otherwise(0.0))
     return rows.select(F.col(key).alias("id"), F.col(name).alias("name"), score.alias("score")).where(F.col("score") >= least).withColumn("level", level(F.col("score")))
 
