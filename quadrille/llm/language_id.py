@@ -52,9 +52,11 @@ def learn(docs: DataFrame, training: Column, text_col: str = "text", lang_col: s
     rows = docs.where(training & docs[lang_col].isNotNull() & docs[text_col].isNotNull()).select(
         docs[lang_col].alias("lang"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("h")
     )
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    room = 4 * SAMPLE_ROWS
-    drawn = rows.join(counts, "lang").where(F.pmod("h", F.lit(1 << 20)) < F.least(F.lit(1.0), room / F.col("n")) * (1 << 20))
+    size = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    if not size:
+        return {}
+    rates = F.create_map(*(F.lit(x) for lang, n in sorted(size.items()) for x in (lang, min(1.0, 4 * SAMPLE_ROWS / n))))
+    drawn = rows.where(F.pmod("h", F.lit(1 << 20)) < rates[F.col("lang")] * (1 << 20))  # before any text is shuffled
     order = Window.partitionBy("lang").orderBy((F.length("text") > LONG).cast("int"), "h")
     sample = drawn.dropDuplicates(["lang", "h"]).withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_ROWS)
     used: dict[str, Counter] = {}
@@ -62,7 +64,6 @@ def learn(docs: DataFrame, training: Column, text_col: str = "text", lang_col: s
     for row in sample.select("lang", "text").toLocalIterator():
         texts[row.lang] += 1
         used.setdefault(row.lang, Counter()).update(set(_word.findall(row.text.lower())))
-    size = {r.lang: r.n for r in counts.collect()}  # a row for each language
     return {lang: dictionary(lang, used, texts) for lang in sorted(used, key=lambda x: (-size[x], x))}
 
 
