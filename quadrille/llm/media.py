@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, stored
+from .common import fresh_path, reclaim, stored
 from .shared_files import RangeReader, new_file
 
 WIDTH = 64
@@ -209,5 +209,7 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Store every payload, read it back, and give each row the columns of its member."""
     manifest = store(docs, id_col, text_col)
     places = stored(resolve(manifest), "places")
-    found = stored(features(places), "features").join(places, "digest")
+    read = stored(features(places), "features")
+    reclaim(docs.sparkSession)
+    found = read.join(places.select("digest", "shard", "offset", "length"), "digest")
     return manifest.select(F.col("id").alias(id_col), "n_bytes", "digest").join(found, "digest")
