@@ -17,15 +17,16 @@ from .plans.builder import Builder
 from .plans.parser import parse_query
 from .sources.store import QUAD_SCHEMA, Dataset, QuadStore, Store
 
-parsed = lru_cache(maxsize=256)(lambda text, prefixes: parse_query(text, dict(prefixes)))
+parsed = lru_cache(maxsize=256)(lambda text, prefixes, aliases: parse_query(text, dict(prefixes), dict(aliases)))
 
 
 class Engine:
     """Runs queries against a store. ``prefixes`` are known to all of them; ``lock`` restricts every scan
-    to the given graphs; ``indexes`` hold the side tables of the search functions."""
+    to the given graphs; ``indexes`` hold the side tables of the search functions; ``aliases`` map IRI
+    prefixes in queries to others, such as another namespace of the search functions to the one here."""
 
-    def __init__(self, store: Store, prefixes: dict[str, str] | None = None, lock: list[str] | None = None, indexes: dict | None = None, embed=None):
-        self.store, self.prefixes, self.lock, self.indexes, self.embed = store, dict(prefixes or {}), lock, indexes or {}, embed
+    def __init__(self, store: Store, prefixes: dict[str, str] | None = None, lock: list[str] | None = None, indexes: dict | None = None, embed=None, aliases: dict[str, str] | None = None):
+        self.store, self.prefixes, self.lock, self.indexes, self.embed, self.aliases = store, dict(prefixes or {}), lock, indexes or {}, embed, dict(aliases or {})
 
     @property
     def spark(self):
@@ -40,7 +41,7 @@ class Engine:
         return Dataset(default, named, None, tuple(map(T.iri, self.lock)) if self.lock is not None else None)
 
     def parse(self, text: str) -> A.Query:
-        return parsed(text, tuple(sorted(self.prefixes.items())))
+        return parsed(text, tuple(sorted(self.prefixes.items())), tuple(self.aliases.items()))
 
     def solutions(self, text: str) -> Solutions:
         q = self.parse(text)

@@ -20,7 +20,8 @@ from . import terms as T
 from .expressions import extension
 from .values import Val
 
-NS = "http://vital.ai/ontology/vitalgraph#"
+#: Namespace of the functions; ``Engine(aliases=...)`` maps another one to it.
+NS = "urn:quadrille:search#"
 DEFAULTS = {"vector": "vectors", "text": "texts", "geo": "places", "name": "names"}
 #: Vectors nearer than this count as candidates of a hybrid search without a text match.
 HYBRID_DISTANCE = 0.6

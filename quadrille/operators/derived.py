@@ -7,17 +7,24 @@ from pyspark.sql import functions as F
 
 from ..functions import terms as T
 
-# Predicates of the knowledge-graph model.
-CORE = "http://vital.ai/ontology/vital-core#"
-KG = "http://vital.ai/ontology/haley-ai-kg#"
+#: Namespaces of the knowledge-graph model; data in other ones goes through ``in_model``.
+CORE = "urn:model:core#"
+KG = "urn:model:kg#"
 EDGE_SOURCE, EDGE_DEST = CORE + "hasEdgeSource", CORE + "hasEdgeDestination"
 NAME = CORE + "hasName"
 SLOT_TYPE, SLOT_VALUE = KG + "hasKGSlotType", KG + "hasEntitySlotValue"
 SOURCE_SLOT, DEST_SLOT = "urn:hasSourceEntity", "urn:hasDestinationEntity"
 
 
-def _pairs(quads: DataFrame, predicate: str, value: str) -> DataFrame:
-    return quads.where(F.col("p") == T.iri(predicate)).select("s", "g", F.col("o").alias(value))
+def in_model(quads: DataFrame, core: str, kg: str) -> DataFrame:
+    """Quads whose model terms lie in the namespaces ``core`` and ``kg``, with the names used here."""
+    def renamed(c: str):
+        col = F.col(c)
+        for old, new in ((core, CORE), (kg, KG)):
+            col = F.when(col.startswith("I" + old), F.concat(F.lit("I" + new), F.substr(col, F.lit(len(old) + 2)))).otherwise(col)
+        return col.alias(c)
+
+    return quads.select("s", renamed("p"), renamed("o"), "g")
 
 
 def edges(quads: DataFrame) -> DataFrame:
