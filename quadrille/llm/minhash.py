@@ -1,11 +1,15 @@
 """Near-duplicate documents by MinHash with tensored banding.
 
-Two small collections of minhash bands are computed for a document, HALVES bands of ROWS values
-each. A table's key combines band i of the first with band j of the second, so HALVES ** 2 tables
-come from only 2 * HALVES * ROWS minhashes. A pair meets in some table unless all bands of one
-collection differ: with similarity s that has probability at most 2 * (1 - s ** ROWS) ** HALVES,
-1.8e-3 at s = 0.85 and 4e-5 at 0.9. Five values a band keep texts that only share a passage apart: at
-s = 0.4 a pair meets with probability 0.014.
+Two small collections of minhash bands are computed for a document, ``halves`` bands of ``rows``
+values each. A table's key combines band i of the first with band j of the second, for ``span`` of the
+j (from i on, in a circle), so halves * span tables come from only 2 * halves * rows minhashes. A pair
+meets unless no two agreeing bands are combined. The bands follow from the threshold (``bands_for``),
+so that a pair just at it is missed with probability MISSED at most:
+
+* threshold 0.85 and more, 12 x 5 with span 12: missed with 1.8e-3 at s = 0.85 and 4e-5 at 0.9; at
+  s = 0.4 a pair meets with probability 0.014;
+* threshold 0.8, 18 x 4 with span 4: missed with 9.5e-4 at s = 0.8, 2.4e-4 at 0.82 and 1.8e-5 at 0.85;
+  at s = 0.4 a pair meets with probability 0.043. 72 tables in place of 144.
 
 1. Equal shingle sets are one class, whose smallest id represents it; only representatives go on.
 2. Every table entry proposes a link to the smallest and the largest id of its bucket. Proposals are
@@ -25,6 +29,8 @@ So links within large groups are found without pairing the group, and no bucket
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -36,22 +42,53 @@ from pyspark.sql import functions as F
 from .common import TEXT_ROWS, discard, reclaim, spaced_words, stored
 from .components import components
 
-HALVES, ROWS = 12, 5
-HASHES = 2 * HALVES * ROWS
+#: Largest probability with which a pair just at the threshold may be missed.
+MISSED = 2e-3
+
+
+class Bands(NamedTuple):
+    halves: int
+    rows: int
+    span: int
+
+    @property
+    def hashes(self) -> int:
+        return 2 * self.halves * self.rows
+
+    def missed(self, s: float) -> float:
+        """Probability that a pair of similarity ``s`` meets in no table, over all sets of agreeing first bands."""
+        first = np.arange(2**self.halves, dtype=np.int64)
+        met = np.zeros_like(first)  # second bands that are combined with one of them
+        for d in range(self.span):
+            met |= ((first << d) | (first >> (self.halves - d))) & (2**self.halves - 1)
+        q, n = s**self.rows, np.bitwise_count(first).astype(float)
+        return float((q**n * (1 - q) ** (self.halves - n + np.bitwise_count(met))).sum())
 
+    def least_agreement(self, percent: int) -> int:
+        """Smallest number of equal minhashes a candidate must have: 5.2 deviations below the mean."""
+        s = percent / 100
+        return int(self.hashes * s - 5.2 * (self.hashes * s * (1 - s)) ** 0.5)
 
-def least_agreement(percent: int) -> int:
-    """Smallest number of equal minhashes a candidate must have: 5.2 deviations below the mean."""
-    s = percent / 100
-    return int(HASHES * s - 5.2 * (HASHES * s * (1 - s)) ** 0.5)
+    def functions(self) -> tuple[np.ndarray, np.ndarray]:
+        """Factors and summands of the linear maps whose minima are taken."""
+        rng = np.random.default_rng(20240607)
+        mul = (rng.integers(0, 2**31, self.hashes, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
+        return mul, rng.integers(0, 2**32, self.hashes, dtype=np.uint32)[:, None]
+
+
+#: From few accidental meetings to many.
+CHOICES = [Bands(12, 5, 12), *(Bands(18, rows, span) for rows in (4, 3, 2, 1) for span in (4, 9, 18))]
+
+
+@lru_cache
+def bands_for(percent: int) -> Bands:
+    """The first choice that misses few pairs at the threshold; below 0.33 the last one, which misses more."""
+    return next((b for b in CHOICES if b.missed(percent / 100) <= MISSED), CHOICES[-1])
 
 
 #: Entries up to which a bucket's open pairs are listed, and entries in a block of larger ones.
 SMALL, BLOCK = 8, 512
 
-_rng = np.random.default_rng(20240607)
-_mul = (_rng.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
-_add = _rng.integers(0, 2**32, HASHES, dtype=np.uint32)[:, None]
 _W = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 _MEMO = 500_000
 _BLOCK = 2048
@@ -87,27 +124,27 @@ def shingle_set(text: str | None, words_in: int, memo: WordHashes) -> np.ndarray
     return np.unique(total)
 
 
-def minhashes(shingles: np.ndarray) -> np.ndarray:
-    """HASHES minima, in blocks so that long texts need little memory."""
-    best = np.full(HASHES, 0xFFFFFFFF, dtype=np.uint32)
+def minhashes(shingles: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
+    """A minimum for each linear map, in blocks so that long texts need little memory."""
+    best = np.full(len(mul), 0xFFFFFFFF, dtype=np.uint32)
     low = (shingles >> np.uint64(32)).astype(np.uint32)  # well mixed, so a linear map a function will do
     for at in range(0, len(low), _BLOCK):
-        np.minimum(best, (low[None, at : at + _BLOCK] * _mul + _add).min(axis=1), out=best)
-    return mix(best.astype(np.uint64) + np.arange(HASHES, dtype=np.uint64) * _W[1])
+        np.minimum(best, (low[None, at : at + _BLOCK] * mul + add).min(axis=1), out=best)
+    return mix(best.astype(np.uint64) + np.arange(len(mul), dtype=np.uint64) * _W[1])
 
 
 SKETCH = "id long, n long, digest binary, bands array<long>, sketch binary"
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """For each row its set size, set digest, 2 * HALVES band hashes and one byte of each minhash."""
+def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, bands: Bands) -> DataFrame:
+    """For each row its set size, set digest, 2 * halves band hashes and one byte of each minhash."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     schema = to_arrow_schema(StructType.fromDDL(SKETCH))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
+        memo, maps = WordHashes(), bands.functions()
         for batch in batches:
             for at in range(0, batch.num_rows, TEXT_ROWS):
                 rows = batch.slice(at, TEXT_ROWS).to_pydict()
@@ -117,10 +154,10 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
                     out["n"].append(len(s))
                     out["digest"].append(xxhash.xxh3_128_digest(s.tobytes()))
                     if len(s):
-                        low = minhashes(s)
-                        band = np.zeros(2 * HALVES, dtype=np.uint64)
-                        for r in range(ROWS):
-                            band = mix(band * _W[0] + low[r::ROWS] + _W[4])
+                        low = minhashes(s, *maps)
+                        band = np.zeros(2 * bands.halves, dtype=np.uint64)
+                        for r in range(bands.rows):
+                            band = mix(band * _W[0] + low[r :: bands.rows] + _W[4])
                         out["bands"].append(band.view(np.int64))
                         out["sketch"].append((low & np.uint64(255)).astype(np.uint8).tobytes())
                     else:
@@ -145,9 +182,9 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFr
     return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).mapInArrow(run, "id long, shingles binary")
 
 
-def agreeing(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+def agreeing(pairs: DataFrame, reps: DataFrame, percent: int, bands: Bands) -> DataFrame:
     """Pairs (a, b) whose sizes and sketches allow the similarity."""
-    least = least_agreement(percent)
+    least, hashes = bands.least_agreement(percent), bands.hashes
     side = reps.select("id", "n", "sketch")
     a, b = (side.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
     sized = pairs.join(a, "a").join(b, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
@@ -155,21 +192,21 @@ def agreeing(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(-1, HASHES) for i in (2, 3))
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(-1, hashes) for i in (2, 3))
                 keep = pa.array((x == y).sum(axis=1) >= least)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(keep)
 
     return sized.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def block_links(entries: DataFrame, reps: DataFrame, sets_of, percent: int) -> DataFrame:
+def block_links(entries: DataFrame, reps: DataFrame, sets_of, percent: int, bands: Bands) -> DataFrame:
     """Verified links (a, b) between components of large buckets.
 
     Large buckets that share entries are one cluster, so a pair is compared once and not once a table.
     A cluster is dealt to blocks; a group holds two of them with their full sets, compares sizes and
     sketches first and then the sets, and gives for each entry one link to each other component.
     """
-    least = least_agreement(percent)
+    least, hashes = bands.least_agreement(percent), bands.hashes
     hub = entries.groupBy("key").agg(F.min("id").alias("hub"))
     cluster = components(entries.join(hub, "key").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
     own = stored(entries.select("id", "c").distinct().join(cluster.withColumnRenamed("component", "cluster"), "id"), "clusters")
@@ -181,7 +218,7 @@ def block_links(entries: DataFrame, reps: DataFrame, sets_of, percent: int) -> D
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
         ids, c, size, block = (part[x].to_numpy() for x in ("id", "c", "size", "block"))
-        sketch = np.frombuffer(b"".join(part["sketch"]), dtype=np.uint8).reshape(-1, HASHES)
+        sketch = np.frombuffer(b"".join(part["sketch"]), dtype=np.uint8).reshape(-1, hashes)
         sets = [np.frombuffer(x, dtype=np.uint64) for x in part["shingles"]]
         one_block = part["b1"].iloc[0] == part["b2"].iloc[0]
         found: list[tuple[int, int]] = []
@@ -229,12 +266,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     share that id's component, the smallest any of its texts reaches. An empty table gives no rows.
     """
     docs = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    rows = stored(sketches(docs, "id", "text", words), "sketches")
+    bands = bands_for(percent)
+    rows = stored(sketches(docs, "id", "text", words, bands), "sketches")
     linked = rows.where("n > 0 and id is not null")
     classes = linked.groupBy("digest").agg(F.min("id").alias("rep"))
     reps = stored(linked.join(classes, [linked["digest"] == classes["digest"], linked["id"] == classes["rep"]], "left_semi").dropDuplicates(["id", "digest"]), "reps")
-    keys = reps.select("id", F.posexplode(F.slice("bands", 1, HALVES)).alias("i", "x"), F.slice("bands", HALVES + 1, HALVES).alias("second"))
-    keys = keys.select("id", "i", "x", F.posexplode("second").alias("j", "y")).select("id", "i", F.xxhash64("i", "j", "x", "y").alias("key"))
+    keys = reps.select("id", F.posexplode(F.slice("bands", 1, bands.halves)).alias("i", "x"), F.slice("bands", bands.halves + 1, bands.halves).alias("second"))
+    combined = F.pmod(F.col("j") - F.col("i"), F.lit(bands.halves)) < bands.span
+    keys = keys.select("id", "i", "x", F.posexplode("second").alias("j", "y")).where(combined).select("id", "i", F.xxhash64("i", "j", "x", "y").alias("key"))
     shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
     entries = stored(keys.join(shared, "key"), "buckets")
     reclaim(docs.sparkSession)  # the tables' shuffles are the largest; nothing reads them any more
@@ -260,11 +299,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         leader = inner.where("c = main").groupBy("key").agg(drawn.alias("leader"))
         return stored(inner.join(leader, "key").select("key", "i", "id", "c", "main", "leader", "in_bucket"), "open")
 
-    star = stored(agreeing(ordered(entries.select(F.col("id").alias("a"), F.explode(F.array("low", "high")).alias("b"))), reps, percent), "proposals")
+    star = stored(agreeing(ordered(entries.select(F.col("id").alias("a"), F.explode(F.array("low", "high")).alias("b"))), reps, percent, bands), "proposals")
     first = links(star)
     some = open_entries(entries, components(first))
-    drawn = ordered(some.where((F.col("c") != F.col("main")) & (F.col("i") < HALVES // 2)).select(F.col("id").alias("a"), F.col("leader").alias("b")))
-    drawn = stored(agreeing(drawn.join(star, ["a", "b"], "left_anti"), reps, percent), "proposals")
+    drawn = ordered(some.where((F.col("c") != F.col("main")) & (F.col("i") < bands.halves // 2)).select(F.col("id").alias("a"), F.col("leader").alias("b")))
+    drawn = stored(agreeing(drawn.join(star, ["a", "b"], "left_anti"), reps, percent, bands), "proposals")
     second = links(drawn)
     reclaim(docs.sparkSession)
     left_over = open_entries(some.select("key", "i", "id"), components(first.unionByName(second)))
@@ -272,11 +311,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     few = small.where("c <> main").select("key", F.col("id").alias("a"), F.col("c").alias("ca"))
     every = small.select("key", F.col("id").alias("b"), F.col("c").alias("cb"), "main")
     more = ordered(few.join(every, "key").where("ca <> cb and (cb = main or a < b)").select("a", "b"))
-    more = stored(agreeing(more.join(star.unionByName(drawn), ["a", "b"], "left_anti"), reps, percent), "proposals")
+    more = stored(agreeing(more.join(star.unionByName(drawn), ["a", "b"], "left_anti"), reps, percent, bands), "proposals")
     linked_pairs = first.unionByName(second).unionByName(links(more))
     large = left_over.where(F.col("in_bucket") > SMALL)
     if not large.isEmpty():
-        linked_pairs = linked_pairs.unionByName(stored(block_links(large, reps, sets_of, percent), "links"))
+        linked_pairs = linked_pairs.unionByName(stored(block_links(large, reps, sets_of, percent, bands), "links"))
     same = linked.join(classes, "digest").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     again = linked.groupBy("id").agg(F.count_distinct("digest").alias("d")).where("d > 1").limit(1)
     discard(entries), discard(some), discard(left_over)

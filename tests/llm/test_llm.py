@@ -79,6 +79,20 @@ def test_large_buckets_keep_their_links(spark, monkeypatch):
     assert blocks == listed
 
 
+def test_pairs_just_above_the_threshold_are_linked(spark):
+    bands = minhash.bands_for(80)
+    assert minhash.bands_for(85) == (12, 5, 12) and bands.missed(0.8) < 1e-3
+    assert all(minhash.bands_for(p).missed(p / 100) <= minhash.MISSED for p in range(40, 100))
+    rng = random.Random(7)
+    texts = []
+    for k in range(3000):  # 96 five-word shingles a text; two changed words leave 86 of 106 in common, 0.811
+        w = [f"{k}w{rng.random()}" for _ in range(100)]
+        texts += [" ".join(w), " ".join("changed" if i in (30, 60) else x for i, x in enumerate(w))]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows_of(texts), SCHEMA)).collect()}
+    assert all(got[2 * k] == 2 * k for k in range(3000))
+    assert sum(got[2 * k + 1] != 2 * k for k in range(3000)) <= 8
+
+
 def test_bpe_equals_the_library(spark, docs, texts):
     public = pytest.importorskip("public_tokenizers")
     import tiktoken
