@@ -8,6 +8,11 @@ of a template's ``size`` required, a match must hold one of the first size - nee
 sides behind the first one shared (positional filter); what is left is counted in full, so no match
 is lost.
 
+With ``windows`` the blocks are word windows of the whole text instead, so that a notice may be wrapped
+over lines. A window has the template's words divided by the containment, and it must hold the telling
+words of the template, if it has any. Only template words are kept with their places; a window may begin
+at one of them, and around each word of the prefix all such windows are counted in full.
+
 Beside the templates, the places of fixed phrases are found over the whole text.
 
 Defined results: a null text counts as empty; a document without words has 0 words, no places, empty
@@ -37,6 +42,8 @@ TEMPLATES = [
     ("this source code form is subject to the terms of the mozilla public license", "mpl"),
 ]
 CONTAINMENT = 0.8
+#: Words without which a short notice names another licence.
+TELLING = {"mit", "apache", "gnu", "nc", "mozilla"}
 
 
 def tokens_of(template: str) -> list[str]:
@@ -48,6 +55,11 @@ def need(size: int, containment: float) -> int:
     return math.ceil(containment * size - 1e-9)
 
 
+def width(template: str, containment: float) -> int:
+    """Words of a window that is held against a template."""
+    return math.ceil(len(template.split()) / containment - 1e-9)
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
@@ -72,7 +84,27 @@ def literal_array(values: list[str]) -> Column:
     return F.array(*map(F.lit, values))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT, templates: list[tuple[str, str]] | None = None) -> DataFrame:
+def in_windows(found: DataFrame, prefix: DataFrame, whole: DataFrame, widths: dict[int, int]) -> DataFrame:
+    """(id, h, label, size, both) of the windows around prefix words that reach ``need``."""
+    most = max(widths.values())
+    at = found.select("id", "h", "hits", F.posexplode("hits").alias("k", "hit"))
+    # places rise, so what lies within ``most`` words lies within ``most`` hits
+    near = F.slice("hits", F.greatest(F.col("k") - most, F.lit(0)) + 1, 2 * most + 1)
+    at = at.select("id", "h", F.col("hit.at").alias("at"), F.col("hit.t").alias("token"), near.alias("near"))
+    w = F.create_map(*(F.lit(x) for pair in widths.items() for x in pair))[F.col("template")]
+    met = at.join(F.broadcast(prefix.select("token", "template", "size", "need")), "token").join(F.broadcast(whole), "template").withColumn("w", w)
+    starts = F.filter("near", lambda x: (x["at"] <= F.col("at")) & (x["at"] > F.col("at") - F.col("w")))
+
+    def held(x: Column) -> Column:
+        inside = F.filter("near", lambda y: (y["at"] >= x["at"]) & (y["at"] < x["at"] + F.col("w")))
+        return F.array_intersect(F.transform(inside, lambda y: y["t"]), F.col("tokens"))
+
+    telling = F.array_intersect("tokens", literal_array(sorted(TELLING)))
+    counts = F.transform(starts, lambda x: F.when(F.size(F.array_except(telling, held(x))) == 0, F.size(held(x))).otherwise(0))
+    return met.withColumn("both", F.array_max(counts)).where("both >= need").select("id", "h", "label", "size", "both")
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT, templates: list[tuple[str, str]] | None = None, windows: bool = False) -> DataFrame:
     """id_col, n_words, n_base, first_word, last_word, base_labels, labels, score; one row an input row."""
     templates = TEMPLATES if templates is None else templates
     vocabulary = sorted({t for text, _ in templates for t in tokens_of(text)})
@@ -88,11 +120,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", contai
         *(places(F.col("words"), phrase).alias(f"at{i}") for i, (phrase, _) in enumerate(PHRASES)),
         F.array_intersect("words", vocab).alias("seen"),
         "low",
+        "words",
     )
     # only lines of documents with enough template tokens can pass the length filter
+    # (with windows: only words of such documents)
     lines = F.transform(F.split("low", "\n"), lambda line: F.array_intersect(words(line), vocab))
     blocks = F.when(F.size("seen") >= least, F.filter(lines, lambda b: F.size(b) >= least))
-    found = stored(found.withColumn("blocks", F.array_distinct(F.transform(blocks, lambda b: F.array_sort(b)))).drop("low"), "scan")
+    if windows:
+        hits = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("t"))), lambda x: x["t"].isin(vocabulary))
+        found = stored(found.withColumn("hits", F.when(F.size("seen") >= least, hits)).drop("low", "words"), "scan")
+    else:
+        found = stored(found.withColumn("blocks", F.array_distinct(F.transform(blocks, lambda b: F.array_sort(b)))).drop("low", "words"), "scan")
 
     frequency = {t: 0 for t in vocabulary}
     for row in found.select(F.explode("seen").alias("token")).groupBy("token").agg(F.count("*").alias("n")).collect():  # a row for each template token
@@ -110,14 +148,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", contai
     prefix = session.createDataFrame(prefixes, "token string, template int, i int, size int, need int")  # fixed templates: a bounded table
     whole = session.createDataFrame([(k, tokens, label) for k, tokens, label in ordered], "template int, tokens array<string>, label string")
 
-    rank_of = F.create_map(*(F.lit(x) for t in order for x in (t, rank[t])))
-    block = found.select("id", "h", F.explode("blocks").alias("b")).dropDuplicates(["id", "h", "b"])
-    block = block.withColumn("b", F.transform(F.array_sort(F.transform("b", lambda t: F.struct(rank_of[t].alias("r"), t.alias("t")))), lambda x: x["t"]))
-    entries = block.select("id", "h", "b", F.posexplode("b").alias("j", "token"))
-    met = entries.join(F.broadcast(prefix), "token")
-    first = met.groupBy("id", "h", "b", "template", "size", "need").agg(F.min(F.struct("i", "j")).alias("at"))
-    possible = first.where((F.size("b") >= F.col("need")) & (1 + F.least(F.col("size") - 1 - F.col("at.i"), F.size("b") - 1 - F.col("at.j")) >= F.col("need")))
-    shared = possible.join(F.broadcast(whole), "template").withColumn("both", F.size(F.array_intersect("b", "tokens"))).where("both >= need")
+    if windows:
+        shared = in_windows(found, prefix, whole, {k: width(text, containment) for k, (text, _) in enumerate(templates)})
+    else:
+        rank_of = F.create_map(*(F.lit(x) for t in order for x in (t, rank[t])))
+        block = found.select("id", "h", F.explode("blocks").alias("b")).dropDuplicates(["id", "h", "b"])
+        block = block.withColumn("b", F.transform(F.array_sort(F.transform("b", lambda t: F.struct(rank_of[t].alias("r"), t.alias("t")))), lambda x: x["t"]))
+        entries = block.select("id", "h", "b", F.posexplode("b").alias("j", "token"))
+        met = entries.join(F.broadcast(prefix), "token")
+        first = met.groupBy("id", "h", "b", "template", "size", "need").agg(F.min(F.struct("i", "j")).alias("at"))
+        possible = first.where((F.size("b") >= F.col("need")) & (1 + F.least(F.col("size") - 1 - F.col("at.i"), F.size("b") - 1 - F.col("at.j")) >= F.col("need")))
+        shared = possible.join(F.broadcast(whole), "template").withColumn("both", F.size(F.array_intersect("b", "tokens"))).where("both >= need")
     matches = shared.groupBy("id", "h").agg(F.collect_set("label").alias("more"), F.max(F.col("both") / F.col("size")).alias("part"))
     matches = matches.select(F.col("id").alias("mid"), F.col("h").alias("mh"), "more", "part")  # at most a label for each template
 

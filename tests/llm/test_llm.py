@@ -155,6 +155,39 @@ def test_license_scan_by_hand(spark):
     assert got[4].base_labels == "apache" and got[5].score == 0.0 and got[6].n_base == 1
 
 
+def test_license_windows_see_wrapped_notices(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted"
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General\nPublic License"
+    texts = [bsd, "Licensed under CC\nBY-NC 4.0", gpl, "Released under the BSD license", "Licensed under CC BY 4.0", None, "", "mit " * 500, "x " * 900 + bsd]
+    df = spark.createDataFrame(rows_of(texts), SCHEMA)
+    got = {r.doc_id: r for r in license_scan.scan(df, windows=True).collect()}
+    assert [got[i].labels for i in range(9)] == ["bsd", "cc-by-nc", "gpl", "", "", "", "", "", "bsd"]
+    assert got[0].score == got[1].score == got[8].score == 1.0 and got[3].score == 0.0
+    assert license_scan.scan(df.limit(0), windows=True).count() == 0
+
+
+def test_license_windows_equal_the_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from quadrille.llm.license_scan_query import ORACLES
+
+    rng = random.Random(11)
+    words = [w for text, _ in license_scan.TEMPLATES for w in text.split()]
+    texts = [None, "", *(" ".join(rng.choice(words) for _ in range(rng.randrange(60))) for _ in range(60))]
+    for text, _ in license_scan.TEMPLATES:
+        for _ in range(25):
+            w = [x for x in text.split() if rng.random() > 0.12]
+            for _ in range(rng.randrange(5)):
+                w.insert(rng.randrange(len(w) + 1), rng.choice(["other", *words]))
+            texts.append("a b " + "".join(x + rng.choice(" \n") for x in w) + rng.choice(words))
+    spark.createDataFrame(rows_of(texts), SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    want = sorted(con.execute(f"select {', '.join(names)} from ({ORACLES['op2_license_windows']})").fetchall())
+    got = license_scan.scan(spark.read.parquet(str(tmp_path / "documents.parquet")), windows=True).select(names).collect()
+    assert sorted(map(tuple, got)) == want and len({r.labels for r in got}) > 4
+
+
 def test_mixing(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(["w"] * rng.randrange(0, 40)), None, [None, "a", "b", "c", "d"][i % 5], "x", "y") for i in range(1200)]
