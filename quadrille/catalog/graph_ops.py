@@ -64,6 +64,11 @@ def pair_statistics(spark, sf_dir):
     return D.pair_stats(star_store(spark, sf_dir, ["customer"]).quads(["Iurn:ref:c_nationkey"]), 60)
 
 
+@query("pair_statistics_whole", "select 'Iurn:ref:c_nationkey' as predicate, 'Iurn:nation:' || c_nationkey as object, count(*) as quads from customer group by c_nationkey having count(*) <= 200000")
+def pair_statistics_whole(spark, sf_dir):
+    return D.pair_stats(star_store(spark, sf_dir, ["customer"]).quads(["Iurn:ref:c_nationkey"]))
+
+
 @query(
     "edge_fan_out",
     """with d as (select o_orderpriority as kind, o_custkey as n, count(*) as d from orders group by 1, 2), e as (select o_orderpriority as kind, o_orderstatus as n, count(*) as d from orders group by 1, 2)

@@ -4,7 +4,9 @@ from datetime import datetime
 
 import pytest
 
+from quadrille import catalog
 from quadrille.functions import fuzzy
+from quadrille.operators.derived import pair_stats
 from quadrille.operators.registry import canonical, hybrid
 from quadrille.operators.spaces import Job, Space
 from quadrille.sources.documents import pieces, segments, to_markdown
@@ -24,6 +26,14 @@ def test_space_life(spark, tmp_path):
     assert not other.exists()
 
 
+def test_pair_statistics_keep_pairs_of_any_table(spark, tmp_path):
+    spark.range(300).selectExpr("id as c_custkey", "id % 2 as c_nationkey").write.parquet(str(tmp_path / "customer.parquet"))
+    got = catalog.collected("QUERIES")["pair_statistics_whole"](spark, str(tmp_path)).collect()
+    assert sorted((r.object, r.quads) for r in got) == [("Iurn:nation:0", 150), ("Iurn:nation:1", 150)]
+    quads = spark.createDataFrame([("s1", "p", "a"), ("s2", "p", "a"), ("s3", "p", "a"), ("s4", "p", "b")], "s string, p string, o string")
+    assert [(r.object, r.quads) for r in pair_stats(quads, 2).collect()] == [("b", 1)] and pair_stats(quads, 3).count() == 2
+
+
 def test_fuzzy(spark):
     assert fuzzy.indel_ratio("abc", "abd") == pytest.approx(200 * 2 / 6)
     assert fuzzy.pair_score("Smith John", "john smith") == 100
