@@ -61,6 +61,12 @@ sparql(
     "SELECT ?name ?o WHERE { ?c col:c_name ?name ; col:c_custkey ?k FILTER(?k <= 60) OPTIONAL { ?o ref:o_custkey ?c ; col:o_totalprice ?t FILTER(?t > 150000) } }",
     "select c_name as name, 'urn:orders:' || o_orderkey as o from customer left join orders on o_custkey = c_custkey and o_totalprice > 150000 where c_custkey <= 60",
 )
+sparql(
+    "optional_orders_whole",
+    "SELECT ?name ?o WHERE { ?c col:c_name ?name OPTIONAL { ?o ref:o_custkey ?c ; col:o_totalprice ?t FILTER(?t > 150000) } }",
+    "select c_name as name, 'urn:orders:' || o_orderkey as o from customer left join orders on o_custkey = c_custkey and o_totalprice > 150000",
+    ["customer", "orders"],
+)
 sparql(
     "optional_nested",
     "SELECT ?n ?r ?s WHERE { ?k col:n_name ?n OPTIONAL { ?k ref:n_regionkey ?g . ?g col:r_name ?r FILTER(?r != \"ASIA\") OPTIONAL { ?x ref:s_nationkey ?k ; col:s_name ?s } } }",

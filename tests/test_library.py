@@ -34,6 +34,13 @@ def test_pair_statistics_keep_pairs_of_any_table(spark, tmp_path):
     assert [(r.object, r.quads) for r in pair_stats(quads, 2).collect()] == [("b", 1)] and pair_stats(quads, 3).count() == 2
 
 
+def test_optional_orders_of_all_customers(spark, tmp_path):
+    spark.range(200).selectExpr("id as c_custkey", "concat('c', id) as c_name", "0L as c_nationkey").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(100).selectExpr("id as o_orderkey", "id * 2 as o_custkey", "if(id % 2 = 0, 200000D, 1000D) as o_totalprice").write.parquet(str(tmp_path / "orders.parquet"))
+    got = catalog.collected("QUERIES")["optional_orders_whole"](spark, str(tmp_path)).collect()
+    assert len(got) == 200 and {(r.name, r.o) for r in got if r.o} == {(f"c{2 * k}", f"urn:orders:{k}") for k in range(0, 100, 2)}
+
+
 def test_fuzzy(spark):
     assert fuzzy.indel_ratio("abc", "abd") == pytest.approx(200 * 2 / 6)
     assert fuzzy.pair_score("Smith John", "john smith") == 100
