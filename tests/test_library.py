@@ -5,9 +5,11 @@ from datetime import datetime
 import pytest
 
 from quadrille import catalog
+from quadrille.engine import Engine
 from quadrille.functions import fuzzy
-from quadrille.operators.derived import pair_stats
-from quadrille.operators.registry import canonical, hybrid
+from quadrille.operators.derived import EDGE_DEST, EDGE_SOURCE, KG, materialised_links, pair_stats
+from quadrille.operators.kgquery import FRAME_TYPE, entity_graph, shared_frames
+from quadrille.operators.registry import by_identifier, canonical, hybrid, related
 from quadrille.operators.spaces import Job, Space
 from quadrille.sources.documents import pieces, segments, to_markdown
 from quadrille.streaming.rollup import rollup, stream_to_table
@@ -41,6 +43,27 @@ def test_optional_orders_of_all_customers(spark, tmp_path):
     assert len(got) == 200 and {(r.name, r.o) for r in got if r.o} == {(f"c{2 * k}", f"urn:orders:{k}") for k in range(0, 100, 2)}
 
 
+def test_frames_graphs_and_links(spark, tmp_path):
+    s = Space(spark, str(tmp_path), "kg").create()
+    edge = lambda e, a, b: f"<{e}> <{EDGE_SOURCE}> <{a}> ; <{EDGE_DEST}> <{b}> ."
+    s.update(f"""INSERT DATA {{ {edge("u:1", "u:a", "u:f")} {edge("u:2", "u:b", "u:f")} {edge("u:3", "u:b", "u:g")}
+      <u:f> <{FRAME_TYPE}> <u:meeting> . <u:g> <{FRAME_TYPE}> <u:other> . <u:a> a <u:A> . <u:f> a <u:F> .
+      <u:f> <{KG}hasKGGraphURI> <u:a> . <u:g> <{KG}hasKGGraphURI> <u:b> }}""")
+    assert [tuple(r) for r in shared_frames(Engine(s.store()), "u:meeting").collect()] == [("u:a", "u:f", "u:b")]
+    of_a = entity_graph(s.quads(), spark.createDataFrame([("u:a",)], "entity string"))
+    assert {r.s for r in of_a.collect()} == {"Iu:f"} and of_a.count() == 3
+    links = materialised_links(s.quads(), {("u:A", "u:F"): "u:attends", ("u:F", "u:A"): "u:never"}).collect()
+    assert [(r.s, r.p, r.o) for r in links] == [("Iu:a", "Iu:attends", "Iu:f")]
+
+
+def test_relations_and_identifiers(spark):
+    rows = [("a", "owns", "b", None), ("a", "near", "c", datetime(2030, 1, 1)), ("a", "owns", "d", datetime(2020, 1, 1))]
+    live = related(spark.createDataFrame(rows, "source string, kind string, target string, expires timestamp"), spark.createDataFrame([("owns", "owned by")], "kind string, inverse string"), "2025-01-01")
+    assert {tuple(r) for r in live.collect()} == {("a", "owns", "b", "out"), ("b", "owned by", "a", "in"), ("a", "near", "c", "out"), ("c", "near", "a", "in")}
+    ids = spark.createDataFrame([("a", "LEI", "X1"), ("a", "LEI", "x1"), ("b", "VAT", "x1")], "entity string, namespace string, value string")
+    assert [r.entity for r in by_identifier(ids, "LEI", "x1").collect()] == ["a"]
+
+
 def test_fuzzy(spark):
     assert fuzzy.indel_ratio("abc", "abd") == pytest.approx(200 * 2 / 6)
     assert fuzzy.pair_score("Smith John", "john smith") == 100
