@@ -11,7 +11,7 @@ from ..engine import Engine
 from ..sources.store import TableMap, TableStore
 
 QUERIES, ORACLES = {}, {}
-VG = {"vg": NS, "col": "urn:col:"}
+FIND = {"find": NS, "col": "urn:col:"}
 PROBE = [round(((i * 37) % 19 - 9) / 10, 1) for i in range(64)]
 SQL_PROBE = "[" + ", ".join(map(str, PROBE)) + "]::double[]"
 COS = f"list_cosine_similarity(embedding::double[], {SQL_PROBE})"
@@ -31,7 +31,7 @@ def engine(spark, sf_dir: str) -> Engine:
         "places": customers.select(F.concat(F.lit("Iurn:customer:"), "c_custkey").alias("s"), F.expr(LAT).cast("double").alias("lat"), F.expr(LON).cast("double").alias("lon")),
     }
     store = TableStore(spark, [TableMap("embeddings", vectors, ["vec_id"]), TableMap("documents", docs, ["doc_id"]), TableMap("customer", customers, ["c_custkey"])])
-    return Engine(store, VG, indexes=indexes, embed=hashing_embedder())
+    return Engine(store, FIND, indexes=indexes, embed=hashing_embedder())
 
 
 def sparql(name: str, query: str, oracle: str | None):
@@ -40,21 +40,24 @@ def sparql(name: str, query: str, oracle: str | None):
         ORACLES[name] = oracle
 
 
-VEC = f'vg:vectorNearby(?e, "{PROBE}", "vectors")'
+VEC = f'find:vectorNearby(?e, "{PROBE}", "vectors")'
 sparql("vector_top_k", f"SELECT ?k (ROUND(?s * 1000000) AS ?score) WHERE {{ ?e col:vec_id ?k BIND({VEC} AS ?s) }} ORDER BY DESC(?s) ?k LIMIT 20", f"select vec_id as k, floor({COS} * 1000000 + 0.5) as score from embeddings order by {COS} desc, k limit 20")
+sparql("order_by_search", f"SELECT ?k WHERE {{ ?e col:vec_id ?k }} ORDER BY DESC({VEC}) ?k LIMIT 20", f"select vec_id as k from embeddings order by {COS} desc, k limit 20")
+sparql("search_in_aggregate", f"SELECT ?l (ROUND(MAX({VEC}) * 1000000) AS ?best) WHERE {{ ?e col:label ?l }} GROUP BY ?l", f"select label as l, floor(max({COS}) * 1000000 + 0.5) as best from embeddings group by label")
+sparql("search_in_optional", f"SELECT ?k ?f WHERE {{ ?e col:vec_id ?k OPTIONAL {{ ?f col:vec_id ?k FILTER({VEC.replace('?e', '?f')} > 0.1) }} }}", f"select vec_id as k, case when {COS} > 0.1 then 'urn:embeddings:' || vec_id end as f from embeddings")
 sparql("vector_threshold", f"SELECT ?k WHERE {{ ?e col:vec_id ?k FILTER({VEC} > 0.2) }}", f"select vec_id as k from embeddings where {COS} > 0.2")
-sparql("multi_vector", f'SELECT ?k (ROUND(vg:multiVectorNearby(?e, ("{PROBE}", "vectors", 3), ("{PROBE[::-1]}", "vectors", 1)) * 100000) AS ?score) WHERE {{ ?e col:vec_id ?k }}', f"select vec_id as k, floor((0.75 * {COS} + 0.25 * list_cosine_similarity(embedding::double[], {list(PROBE[::-1])}::double[])) * 100000 + 0.5) as score from embeddings")
+sparql("multi_vector", f'SELECT ?k (ROUND(find:multiVectorNearby(?e, ("{PROBE}", "vectors", 3), ("{PROBE[::-1]}", "vectors", 1)) * 100000) AS ?score) WHERE {{ ?e col:vec_id ?k }}', f"select vec_id as k, floor((0.75 * {COS} + 0.25 * list_cosine_similarity(embedding::double[], {list(PROBE[::-1])}::double[])) * 100000 + 0.5) as score from embeddings")
 WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
-sparql("text_search", 'SELECT ?k (ROUND(?s * 1000000) AS ?score) WHERE { ?d col:doc_id ?k BIND(vg:textSearch(?d, "license public", "texts") AS ?s) FILTER(BOUND(?s)) }', f"select doc_id as k, floor(len(list_filter({WORDS}, lambda w: w in ('license', 'public'))) / len({WORDS}) * 1000000 + 0.5) as score from documents where list_contains({WORDS}, 'license') and list_contains({WORDS}, 'public')")
-sparql("hybrid_search", 'SELECT ?k ?s WHERE { ?d col:doc_id ?k BIND(vg:hybridSearch(?d, "license public", "hybrid", 0.5) AS ?s) FILTER(BOUND(?s)) }', None)
-sparql("vector_similarity_text", 'SELECT ?k ?s WHERE { ?e col:vec_id ?k BIND(vg:vectorSimilarity(?e, "public license", "vectors") AS ?s) FILTER(?s > 0.1) }', None)
-sparql("trigram_similarity", 'SELECT ?k ?s WHERE { ?c col:c_custkey ?k BIND(vg:trigramSimilarity(?c, "Customer#000000042") AS ?s) FILTER(?s > 0.6) }', None)
-sparql("fuzzy_match", 'SELECT ?k ?s WHERE { ?c col:c_custkey ?k BIND(vg:fuzzyMatch(?c, "customer 000000124", 97) AS ?s) FILTER(BOUND(?s)) }', None)
+sparql("text_search", 'SELECT ?k (ROUND(?s * 1000000) AS ?score) WHERE { ?d col:doc_id ?k BIND(find:textSearch(?d, "license public", "texts") AS ?s) FILTER(BOUND(?s)) }', f"select doc_id as k, floor(len(list_filter({WORDS}, lambda w: w in ('license', 'public'))) / len({WORDS}) * 1000000 + 0.5) as score from documents where list_contains({WORDS}, 'license') and list_contains({WORDS}, 'public')")
+sparql("hybrid_search", 'SELECT ?k ?s WHERE { ?d col:doc_id ?k BIND(find:hybridSearch(?d, "license public", "hybrid", 0.5) AS ?s) FILTER(BOUND(?s)) }', None)
+sparql("vector_similarity_text", 'SELECT ?k ?s WHERE { ?e col:vec_id ?k BIND(find:vectorSimilarity(?e, "public license", "vectors") AS ?s) FILTER(?s > 0.1) }', None)
+sparql("trigram_similarity", 'SELECT ?k ?s WHERE { ?c col:c_custkey ?k BIND(find:trigramSimilarity(?c, "Customer#000000042") AS ?s) FILTER(?s > 0.6) }', None)
+sparql("fuzzy_match", 'SELECT ?k ?s WHERE { ?c col:c_custkey ?k BIND(find:fuzzyMatch(?c, "customer 000000124", 97) AS ?s) FILTER(BOUND(?s)) }', None)
 HAV = f"2 * 6371008.8 * asin(sqrt(least(1.0, pow(sin(radians(40.758 - {LAT}) / 2), 2) + cos(radians({LAT})) * cos(radians(40.758)) * pow(sin(radians(-73.9855 - {LON}) / 2), 2))))"
-sparql("geo_distance", "SELECT ?k (ROUND(vg:geoDistance(?c, 40.758, -73.9855)) AS ?m) WHERE { ?c col:c_custkey ?k }", f"select c_custkey as k, floor({HAV} + 0.5) as m from customer")
-sparql("geo_radius", "SELECT ?k WHERE { ?c col:c_custkey ?k FILTER(vg:withinRadius(?c, 40.758, -73.9855, 1500000)) }", f"select c_custkey as k from customer where {HAV} <= 1500000")
-sparql("geo_bounds", "SELECT ?k WHERE { ?c col:c_custkey ?k FILTER(vg:withinBounds(?c, 10, -20, 60, 40)) }", f"select c_custkey as k from customer where {LAT} between 10 and 60 and {LON} between -20 and 40")
-sparql("geo_polygon", 'SELECT ?k WHERE { ?c col:c_custkey ?k FILTER(vg:withinPolygon(?c, "POLYGON((-20.5 10.5, 40.5 10.5, 40.5 60.5, -20.5 60.5, -20.5 10.5))")) }', f"select c_custkey as k from customer where {LAT} between 11 and 60 and {LON} between -20 and 40")
+sparql("geo_distance", "SELECT ?k (ROUND(find:geoDistance(?c, 40.758, -73.9855)) AS ?m) WHERE { ?c col:c_custkey ?k }", f"select c_custkey as k, floor({HAV} + 0.5) as m from customer")
+sparql("geo_radius", "SELECT ?k WHERE { ?c col:c_custkey ?k FILTER(find:withinRadius(?c, 40.758, -73.9855, 1500000)) }", f"select c_custkey as k from customer where {HAV} <= 1500000")
+sparql("geo_bounds", "SELECT ?k WHERE { ?c col:c_custkey ?k FILTER(find:withinBounds(?c, 10, -20, 60, 40)) }", f"select c_custkey as k from customer where {LAT} between 10 and 60 and {LON} between -20 and 40")
+sparql("geo_polygon", 'SELECT ?k WHERE { ?c col:c_custkey ?k FILTER(find:withinPolygon(?c, "POLYGON((-20.5 10.5, 40.5 10.5, 40.5 60.5, -20.5 60.5, -20.5 10.5))")) }', f"select c_custkey as k from customer where {LAT} between 11 and 60 and {LON} between -20 and 40")
 
 
 def fusion_ranked(spark, sf_dir):

@@ -29,6 +29,13 @@ update(
     "DELETE { ?x col:n_name ?n } INSERT { ?x col:n_name ?u } WHERE { ?x col:n_name ?n ; col:n_regionkey 1 BIND(LCASE(?n) AS ?u) }",
     f"select 'Iurn:nation:' || n_nationkey as s, 'Iurn:col:n_name' as p, 'S' || n_name as o, {D}, 'removed' as change from nation where n_regionkey = 1 union all select 'Iurn:nation:' || n_nationkey, 'Iurn:col:n_name', 'S' || lower(n_name), 'Iurn:quadrille:default', 'added' from nation where n_regionkey = 1",
 )
+ORDERS = "select 'Iurn:orders:' || o_orderkey as s from orders where o_orderstatus = 'P'"
+update(
+    "with_and_graph",
+    'INSERT { GRAPH <urn:h> { ?o <urn:open> true } } WHERE { ?o col:o_orderstatus "P" } ; WITH <urn:g> INSERT { ?o <urn:seen> ?x } WHERE { GRAPH <urn:h> { ?o <urn:open> ?x } }',
+    f"select s, 'Iurn:open' as p, 'Thttp://www.w3.org/2001/XMLSchema#boolean true' as o, 'Iurn:h' as g, 'added' as change from ({ORDERS}) union all select s, 'Iurn:seen', 'Thttp://www.w3.org/2001/XMLSchema#boolean true', 'Iurn:g', 'added' from ({ORDERS})",
+    ("orders",),
+)
 update("insert_unbound_skipped", "INSERT { ?x <urn:q> ?missing . ?x <urn:r> 1 } WHERE { ?x col:r_regionkey 2 OPTIONAL { ?x <urn:none> ?missing } }", f"select 'Iurn:region:2' as s, 'Iurn:r' as p, 'Thttp://www.w3.org/2001/XMLSchema#integer 1' as o, {D}, 'added' as change")
 update("copy_graph", "INSERT DATA { GRAPH <urn:h> { <urn:x> <urn:y> 1 } } ; COPY DEFAULT TO <urn:g> ; CLEAR GRAPH <urn:h>", "select s, p, o, 'Iurn:g' as g, 'added' as change from (select 'Iurn:region:' || r_regionkey as s, 'Iurn:col:r_name' as p, 'S' || r_name as o from region union all select 'Iurn:region:' || r_regionkey, 'Iurn:col:r_regionkey', 'Thttp://www.w3.org/2001/XMLSchema#integer ' || r_regionkey from region union all select 'Iurn:region:' || r_regionkey, 'Ihttp://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'Iurn:table:region' from region)", ("region",))
 update("move_graph", "MOVE DEFAULT TO <urn:g> ; MOVE <urn:g> TO DEFAULT ; ADD DEFAULT TO DEFAULT", f"select '' as s, '' as p, '' as o, {D}, '' as change where false", ("region",))

@@ -134,19 +134,33 @@ def _arithmetic(name: str):
                 return Val("decimal", F.try_divide(x.col.cast("decimal(20,0)"), y.col.cast("decimal(20,0)")).cast("decimal(38,18)"))
             return Val("int", safe(x.col, y.col))
         if kinds <= set(V.NUMBER_KINDS):
-            out = safe(x.col.cast("double"), y.col.cast("double"))
-            return Val("double", out) if "double" in kinds else Val("decimal", out.try_cast("decimal(38,18)"))
+            if "double" in kinds:
+                return Val("double", safe(x.col.cast("double"), y.col.cast("double")))
+            return Val("decimal", _precise(name, V.exact(x), V.exact(y)))
         ranked = F.greatest(V.rank(x), V.rank(y))
         both = V.num(x).isNotNull() & V.num(y).isNotNull()
         if name == "/":
-            exact = F.try_divide(V.num(x), V.num(y))
+            quotient = F.try_divide(V.num(x), V.num(y))
             loose = V.num(x) / F.nullif(V.num(y), F.lit(0.0))
-            return V.number(F.when(both, F.when(ranked >= 2, loose).otherwise(exact)), F.greatest(ranked, F.lit(1)))
-        return V.number(F.when(both, safe(V.num(x), V.num(y))), ranked)
+            return V.number(F.when(both, F.when(ranked >= 2, loose).otherwise(quotient)), F.greatest(ranked, F.lit(1)), _precise(name, V.exact(x), V.exact(y)))
+        return V.number(F.when(both, safe(V.num(x), V.num(y))), ranked, _precise(name, V.exact(x), V.exact(y)))
 
     return build
 
 
+def _precise(name: str, x: Column, y: Column) -> Column:
+    """Exact arithmetic on decimal(38,18). Products and quotients keep their digits where both operands
+    have at most 9 on either side of the point, or are whole; others go through doubles."""
+    safe = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply, "/": F.try_divide}[name]
+    if name in "+-":
+        return safe(x, y).try_cast(V.EXACT)
+    wide = safe(x.cast("double"), y.cast("double")).try_cast(V.EXACT)
+    for kind in ("decimal(20,0)", "decimal(19,9)"):
+        a, b = x.try_cast(kind), y.try_cast(kind)
+        wide = F.when((a == x) & (b == y), safe(a, b).try_cast(V.EXACT)).otherwise(wide)
+    return wide
+
+
 def _negative(c, a):
     return OPERATORS["*"](c, A.Term(T.integer(-1)), a)
 
@@ -187,12 +201,18 @@ def _iri(c: Compiler, v: Val) -> Val:
 
 # functions
 def _round(f):
+    def of_double(c: Column) -> Column:
+        # doubles of 2^53 and more, infinities among them, are whole; Spark rounds to a bigint
+        return F.when(F.isnan(c) | (F.abs(c) >= float(2**53)), c).otherwise(f(c).cast("double"))
+
     def build(v: Val) -> Val:
         if v.kind == "int":
             return v
-        if v.kind in ("double", "decimal"):
-            return Val(v.kind, f(v.col.cast("double")).cast("double" if v.kind == "double" else "decimal(38,18)"))
-        return V.number(f(V.num(v)), V.rank(v))
+        if v.kind == "decimal":
+            return Val("decimal", f(v.col.cast(V.EXACT)).try_cast(V.EXACT))
+        if v.kind == "double":
+            return Val("double", of_double(v.col))
+        return V.number(of_double(V.num(v)), V.rank(v), f(V.exact(v)).try_cast(V.EXACT))
 
     return build
 
@@ -320,7 +340,7 @@ FUNCTIONS: dict[str, Callable] = {
     "ABS": lambda v: Val("int", F.abs(v.col)) if v.kind == "int" else _round(F.abs)(v),
     "CEIL": _round(F.ceil),
     "FLOOR": _round(F.floor),
-    "ROUND": _round(lambda c: F.floor(c + 0.5)),
+    "ROUND": _round(lambda c: F.floor(c + F.lit("0.5").cast("decimal(2,1)"))),
     "CONCAT": _concat,
     "STRLEN": lambda v: Val("int", F.length(string(v)).cast("bigint")),
     "UCASE": lambda v: like(v, F.upper(string(v))),

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from hashlib import md5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ class Side:
     var: str
 
     def column(self, part: str | None = None) -> str:
-        return f"_side_{self.kind}_{abs(hash((self.index, self.var))) % 10**8}_{part or self.kind}"
+        return f"_side_{self.kind}_{md5(f'{self.index} {self.var}'.encode()).hexdigest()}_{part or self.kind}"
 
     def parts(self) -> list[str]:
         return ["lat", "lon"] if self.kind == "geo" else [self.kind]

@@ -4,7 +4,8 @@
 native columns, so that scans of typed tables keep predicates and aggregates that Catalyst can push
 down: ``iri`` (a column behind a fixed IRI prefix), ``int``, ``decimal``, ``double``, ``string``,
 ``bool`` and ``dateTime``. ``number`` is a computed number with its promotion rank in ``aux``; it exists only
-within an expression. A null is an unbound variable or an expression error.
+within an expression. Integers and decimals are computed in ``exact``, a decimal(38,18), and only what
+does not fit there in doubles. A null is an unbound variable or an expression error.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from . import terms as T
 
 NUMBER_KINDS = ("int", "decimal", "double")
+EXACT = "decimal(38,18)"
 DATATYPES = {"int": T.XSD + "integer", "decimal": T.XSD + "decimal", "double": T.XSD + "double", "string": T.STRING, "bool": T.XSD + "boolean", "dateTime": T.XSD + "dateTime"}
 DATES = [T.XSD + "dateTime", T.XSD + "date"]
 
@@ -28,6 +30,7 @@ class Val:
     col: Column
     prefix: str = ""
     aux: Column | None = None
+    exact: Column | None = None
 
     def rep(self) -> tuple[str, str]:
         return self.kind, self.prefix
@@ -35,7 +38,7 @@ class Val:
 
 def settled(v: Val) -> Val:
     """A value as it can be stored in a column: computed numbers become terms."""
-    return Val("term", number_text(v.col, v.aux)) if v.kind == "number" else v
+    return Val("term", number_text(v.col, v.aux, v.exact)) if v.kind == "number" else v
 
 
 def null() -> Val:
@@ -129,6 +132,20 @@ def num(v: Val) -> Column:
     return v.col.cast("double") if v.kind in NUMBER_KINDS else F.lit(None).cast("double")
 
 
+def exact(v: Val) -> Column:
+    """Integers and decimals as decimal(38,18), null for other values and for what does not fit."""
+    none = F.lit(None).cast(EXACT)
+    if v.kind == "number":
+        return none if v.exact is None else v.exact
+    if v.kind == "term":
+        return F.when(datatype(v).isin(*T.INTEGERS, T.XSD + "decimal"), lex(v).try_cast(EXACT))
+    return v.col.cast(EXACT) if v.kind in ("int", "decimal") else none
+
+
+def both_exact(a: Val, b: Val) -> Column:
+    return exact(a).isNotNull() & exact(b).isNotNull()
+
+
 def rank(v: Val) -> Column:
     """Promotion rank of a numeric value."""
     if v.kind == "number":
@@ -139,15 +156,18 @@ def rank(v: Val) -> Column:
     return F.lit({"int": 0, "decimal": 1, "double": 3}.get(v.kind)).cast("int")
 
 
-def number(value: Column, ranked: Column) -> Val:
-    """A number of run-time rank from a double; null where it has no rank."""
-    return Val("number", F.when(ranked.isNotNull(), value), aux=ranked)
+def number(value: Column, ranked: Column, precise: Column | None = None) -> Val:
+    """A number of run-time rank from a double and its exact value; null where it has no rank."""
+    return Val("number", F.when(ranked.isNotNull(), value), aux=ranked, exact=precise)
 
 
-def number_text(value: Column, ranked: Column) -> Column:
-    """The canonical term of a number and its rank."""
-    whole = F.concat(F.lit(f"T{T.XSD}integer "), value.try_cast("bigint").cast("string"))
-    exact = F.concat(F.lit(f"T{T.XSD}decimal "), decimal_text(value.try_cast("decimal(38,18)")))
+def number_text(value: Column, ranked: Column, precise: Column | None = None, integer: Column | None = None) -> Column:
+    """The canonical term of a number and its rank; ``integer`` is an exact value that may be too large for ``precise``."""
+    whole, part = value.try_cast("decimal(38,0)"), value.try_cast(EXACT)
+    if precise is not None:
+        whole, part = F.coalesce(precise.try_cast("decimal(38,0)") if integer is None else integer, whole), F.coalesce(precise, part)
+    whole = F.concat(F.lit(f"T{T.XSD}integer "), whole.cast("string"))
+    exact = F.concat(F.lit(f"T{T.XSD}decimal "), decimal_text(part))
     single = F.concat(F.lit(f"T{T.XSD}float "), value.cast("string"))
     return F.when(ranked == 0, whole).when(ranked == 1, exact).when(ranked == 2, single).when(ranked == 3, F.concat(F.lit(f"T{T.XSD}double "), value.cast("string")))
 
@@ -196,7 +216,7 @@ def order_keys(v: Val) -> list[Column]:
     first = F.left(v.col, F.lit(1))
     number, when = num(v), moment(v)
     place = F.when(v.col.isNull(), 0).when(first == "B", 1).when(first == "I", 2).when(number.isNotNull(), 3).when(when.isNotNull(), 4).otherwise(5)
-    return [place, number, when, lex(v), v.col]
+    return [place, number, exact(v), when, lex(v), v.col]
 
 
 def order_struct(v: Val) -> Column:
@@ -216,7 +236,7 @@ def same_term(a: Val, b: Val) -> Column:
 def equal(a: Val, b: Val) -> Column:
     """RDFterm-equal: by value where both have one, an error for unlike literals of unknown types."""
     if numbers(a, b):
-        return a.col == b.col
+        return a.col == b.col if "number" not in (a.kind, b.kind) else F.when(both_exact(a, b), exact(a) == exact(b)).otherwise(num(a) == num(b))
     if a.rep() == b.rep() and a.kind != "term":
         return a.col == b.col
     if not {"term", "number"} & {a.kind, b.kind}:
@@ -224,15 +244,16 @@ def equal(a: Val, b: Val) -> Column:
     known = [*T.NUMERICS, *DATES, T.STRING, T.LANG_STRING, T.XSD + "boolean"]
     da, db = datatype(a), datatype(b)
     unlike = F.when(da.isNull() | db.isNull(), False).when(da.isin(*known) & db.isin(*known), False)
-    by_value = F.when(num(a).isNotNull() & num(b).isNotNull(), num(a) == num(b)).when(moment(a).isNotNull() & moment(b).isNotNull(), moment(a) == moment(b)).when(truth(a).isNotNull() & truth(b).isNotNull(), truth(a) == truth(b))
+    precise = both_exact(a, b)
+    by_value = F.when(precise, exact(a) == exact(b)).when(num(a).isNotNull() & num(b).isNotNull(), num(a) == num(b)).when(moment(a).isNotNull() & moment(b).isNotNull(), moment(a) == moment(b)).when(truth(a).isNotNull() & truth(b).isNotNull(), truth(a) == truth(b))
     return F.coalesce(by_value, F.when(term(a) == term(b), True), F.when(a.col.isNotNull() & b.col.isNotNull(), unlike))
 
 
 def less(a: Val, b: Val) -> Column:
     """a < b of comparable literals, else null."""
-    if numbers(a, b) or a.rep() == b.rep() and a.kind in ("string", "dateTime", "bool"):
+    if "number" not in (a.kind, b.kind) and (numbers(a, b) or a.rep() == b.rep() and a.kind in ("string", "dateTime", "bool")):
         return a.col < b.col
-    lanes = [(num(a), num(b)), (moment(a), moment(b)), (truth(a), truth(b))]
+    lanes = [(exact(a), exact(b)), (num(a), num(b)), (moment(a), moment(b)), (truth(a), truth(b))]
     plain = F.when(kind_is(a, "S") & kind_is(b, "S"), lex(a) < lex(b))
     return F.coalesce(*(x < y for x, y in lanes), plain)
 

@@ -48,9 +48,10 @@ def predicate_stats(quads: DataFrame) -> DataFrame:
     return quads.groupBy(F.col("p").alias("predicate")).agg(F.count("*").alias("quads"))
 
 
-def pair_stats(quads: DataFrame, most: int = 200_000) -> DataFrame:
-    """(predicate, object, quads) of the pairs with at most ``most`` quads."""
-    return quads.groupBy(F.col("p").alias("predicate"), F.col("o").alias("object")).agg(F.count("*").alias("quads")).where(F.col("quads") <= most)
+def pair_stats(quads: DataFrame, most: int | None = None) -> DataFrame:
+    """(predicate, object, quads) of all pairs, or of those with at most ``most`` quads."""
+    pairs = quads.groupBy(F.col("p").alias("predicate"), F.col("o").alias("object")).agg(F.count("*").alias("quads"))
+    return pairs if most is None else pairs.where(F.col("quads") <= most)
 
 
 def fan_out(pairs: DataFrame, kinds: list[str], source: str = "source", dest: str = "dest") -> DataFrame:

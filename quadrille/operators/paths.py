@@ -93,11 +93,14 @@ class Paths:
         if high is None and low <= 1:
             out = self.closure(step, start, end)
             return out if low == 1 else self.identity(ends).unionByName(out).distinct()
-        base = self.identity([]) if low == 0 else reduce(self.follow, [step] * low)
+        base = reduce(self.follow, [step] * max(low, 1))
         if high is None:
             return base.unionByName(self.follow(base, self.closure(step, None, end))).distinct()
-        out = power = base
-        for _ in range(high - low):
+        if high == 0:
+            return self.identity(ends)
+        out = self.identity(ends).unionByName(base) if low == 0 else base
+        power = base
+        for _ in range(high - max(low, 1)):
             power = self.follow(power, step)
             out = out.unionByName(power)
         return out

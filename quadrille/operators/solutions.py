@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,27 +104,43 @@ def _finish(a: Solutions, b: Solutions, joined: DataFrame, shared: list[str], ou
     return Solutions(joined.select(*cols) if cols else joined.select(F.lit(1).alias("_unit")), reps, maybe)
 
 
+def unsure_key(a: Solutions, b: Solutions, shared: list[str]) -> str | None:
+    """A shared variable to split a join on: there is none if some shared variable is bound for sure."""
+    loose = [v for v in shared if v in a.maybe or v in b.maybe]
+    return loose[0] if loose and len(loose) == len(shared) else None
+
+
+def sure(s: Solutions, v: str) -> Solutions:
+    """The solutions that bind the variable; an equi-join can use it."""
+    return Solutions(s.df.where(F.col(column_name(v)).isNotNull()), s.reps, s.maybe - {v}) if v in s.maybe else s
+
+
+def free(s: Solutions, v: str) -> Solutions:
+    """The solutions that do not bind the variable, without it."""
+    df = s.df.where(F.col(column_name(v)).isNull()).drop(column_name(v))
+    reps = {k: r for k, r in s.reps.items() if k != v}
+    return Solutions(df if reps else df.withColumn("_unit", F.lit(1)), reps, s.maybe - {v})
+
+
+def again(s: Solutions, v: str, rep: tuple[str, str], like: Solutions) -> Solutions:
+    """Solutions without the variable, which gets back as an unbound one of the same type as in ``like``."""
+    c = column_name(v)
+    return Solutions(s.df.drop("_unit").withColumn(c, F.lit(None).cast(like.df.schema[c].dataType)), s.reps | {v: rep}, s.maybe | {v})
+
+
 def join(a: Solutions, b: Solutions) -> Solutions:
     """Inner join of compatible solutions."""
     a, b = harmonised(a, b)
     shared = [v for v in a.reps if v in b.reps]
     if not b.reps and "_unit" in b.df.columns and not shared and b.df.columns == ["_unit"]:
         return Solutions(a.df.crossJoin(b.df.drop("_unit")) if a.reps else a.df.drop("_unit").crossJoin(b.df), a.reps, a.maybe)
-    loose = [v for v in shared if v in a.maybe or v in b.maybe]
-    if loose and len(loose) == len(shared):
-        # no sure key: split on one variable, so that what is bound on both sides is an equi-join
-        v, c = loose[0], column_name(loose[0])
-        sure = lambda s: Solutions(s.df.where(F.col(c).isNotNull()), s.reps, s.maybe - {v})
-        free = lambda s: Solutions(s.df.where(F.col(c).isNull()).drop(c), {k: r for k, r in s.reps.items() if k != v}, s.maybe - {v})
-        parts = [join(sure(a), sure(b))]
+    if v := unsure_key(a, b, shared):
+        parts = [join(sure(a, v), sure(b, v))]
         if v in a.maybe:
-            parts.append(join(free(a), b))
+            parts.append(join(free(a, v), b))
         if v in b.maybe:
-            parts.append(join(sure(a), free(b)))
-        out = parts[0]
-        for p in parts[1:]:
-            out = union(out, p)
-        return out
+            parts.append(join(sure(a, v), free(b, v)))
+        return reduce(union, parts)
     condition, _ = _matches(a, b, shared)
     right = _renamed(b, shared)
     joined = a.df.join(right, condition, "inner") if shared else a.df.crossJoin(right)
@@ -134,6 +151,11 @@ def left_join(a: Solutions, b: Solutions, condition=None) -> Solutions:
     """Left outer join; ``condition`` gets the merged scope and gives a Column."""
     a, b = harmonised(a, b)
     shared = [v for v in a.reps if v in b.reps]
+    if unsure_key(a, b, shared):
+        met = join(a, b)
+        if condition is not None:
+            met = met.filter(condition(met.scope()))
+        return union(met, semi_join(a, b, negated=True, condition=condition))
     on, _ = _matches(a, b, shared)
     if condition is not None:
         on = on & condition(merged_scope(a, b, shared))
@@ -157,7 +179,23 @@ def semi_join(a: Solutions, b: Solutions, negated: bool = False, condition=None,
     a, b = harmonised(a, b)
     shared = [v for v in a.reps if v in b.reps]
     if both_bound and not shared:
-        return a
+        return a if negated else a.filter(F.lit(False))
+    if v := unsure_key(a, b, shared):
+        rest = {"condition": condition, "both_bound": both_bound}
+        # bound on both sides, which is all that MINUS asks for
+        bound = {"condition": condition, "both_bound": False}
+        left, gone = sure(a, v), free(a, v)
+        if negated:
+            out = semi_join(left, sure(b, v), True, **bound)
+            out = semi_join(out, free(b, v), True, **rest) if v in b.maybe else out
+        else:
+            out = semi_join(left, sure(b, v), False, **bound)
+            if v in b.maybe:
+                out = union(out, semi_join(semi_join(left, sure(b, v), True, **bound), free(b, v), False, **rest))
+        if v in a.maybe:
+            # the variable is unbound here, so in a condition it is what ``b`` binds
+            out = union(out, again(semi_join(gone, b, negated, **rest), v, a.reps[v], a))
+        return Solutions(out.df.select(*a.df.columns), a.reps, a.maybe)
     on, loose = _matches(a, b, shared)
     if both_bound and len(loose) == len(shared):
         some = F.lit(False)
@@ -194,6 +232,46 @@ def flagged(a: Solutions, b: Solutions, flag: str, condition=None) -> Solutions:
     return Solutions(out.drop("_hit", key), a.reps, a.maybe)
 
 
+def together(a: Solutions, b: Solutions) -> Solutions:
+    """What is bound in either, without rows: the scope of a pattern below both."""
+    return Solutions(a.df, b.reps | a.reps, a.maybe | b.maybe)
+
+
+def _on_keys(a: Solutions, found: Solutions, keys: list[str]) -> tuple[Solutions, DataFrame, Column]:
+    """``a``, the keys under other names, and their identity; unbound equals unbound."""
+    a, found = harmonised(a, found)
+    names = [column_name(v) for v in keys]
+    return a, found.df.select(*(F.col(c).alias("k_" + c) for c in names)), V.all_of([F.col(c).eqNullSafe(F.col("k_" + c)) for c in names])
+
+
+def having_keys(a: Solutions, found: Solutions, keys: list[str], negated: bool = False) -> Solutions:
+    """The solutions whose values of ``keys`` are among those found, or are not."""
+    a, right, on = _on_keys(a, found, keys)
+    return Solutions(a.df.join(right, on, "left_anti" if negated else "left_semi"), a.reps, a.maybe)
+
+
+def flagged_keys(a: Solutions, found: Solutions, keys: list[str], flag: str) -> Solutions:
+    """``a`` with a boolean column that tells whether its values of ``keys`` are among those found."""
+    a, right, on = _on_keys(a, found, keys)
+    out = a.df.join(right.withColumn("_hit", F.lit(True)), on, "left").withColumn(flag, F.coalesce("_hit", F.lit(False)))
+    return Solutions(out.drop("_hit", *right.columns), a.reps, a.maybe)
+
+
+def undivided(keys: Solutions, middle: Solutions, body: Solutions) -> Solutions:
+    """Keys for which some row of ``middle`` has no (key, row) in ``body``: fewer matches than rows.
+
+    All variables are bound; ``middle`` has the variables of ``body`` that are not keys.
+    """
+    middle, body = harmonised(middle, body)
+    keys, body = harmonised(keys, body)
+    own, rest = ([column_name(v) for v in s.reps] for s in (keys, middle))
+    rows = middle.df.distinct()
+    met = body.df.distinct().join(rows, rest, "left_semi").groupBy(*own).agg(F.count("*").alias("_met"))
+    every = rows.agg(F.count("*").alias("_rows"))  # one row
+    out = keys.df.join(met, own, "left").crossJoin(F.broadcast(every)).where(F.coalesce("_met", F.lit(0)) < F.col("_rows"))
+    return Solutions(out.select(*own), keys.reps, keys.maybe)
+
+
 def union(a: Solutions, b: Solutions) -> Solutions:
     """Bag union; variables of one side only are unbound on the other."""
     a, b = harmonised(a, b)

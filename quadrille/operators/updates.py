@@ -62,7 +62,7 @@ def _one(quads: DataFrame, u: A.Update, graphs: frozenset[str]) -> tuple[DataFra
         case "delete_data":
             return delete(quads, ground(spark, u.delete, False)), graphs
         case "modify":
-            using = tuple(map(T.iri, u.using)) if u.using or u.using_named else None
+            using = tuple(map(T.iri, u.using)) if u.using or u.using_named else (T.iri(u.within),) if u.within else None
             named = tuple(map(T.iri, u.using_named)) if u.using or u.using_named else None
             engine = Engine(QuadStore(quads))
             s = engine.builder().build(u.pattern, Dataset(using, named))

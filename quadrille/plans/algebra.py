@@ -195,6 +195,7 @@ class Update:
     pattern: object | None = None
     using: list = field(default_factory=list)
     using_named: list = field(default_factory=list)
+    within: str | None = None  # WITH: the default graph, unless USING says otherwise
     target: object | None = None
     source: object | None = None
     silent: bool = False

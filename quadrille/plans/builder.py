@@ -28,7 +28,7 @@ class Builder:
 
         df = s.df
         for side in dict.fromkeys(x for e in expressions for x in sides_of(e)):
-            if side.column(side.parts()[0]) in df.columns:
+            if side.column(side.parts()[0]) in df.columns or side.var not in s.reps:
                 continue
             table = self.engine.indexes[side.kind, side.index] if (side.kind, side.index) in self.engine.indexes else self.engine.indexes[side.index]
             key = "_key_" + side.column()
@@ -62,9 +62,10 @@ class Builder:
         return S.join(self.build(n.left, data), self.build(n.right, data))
 
     def _leftjoin(self, n: A.LeftJoin, data: Dataset) -> Solutions:
-        left, right = self.build(n.left, data), self.build(n.right, data)
+        left, right = self.named(self.build(n.left, data), data), self.build(n.right, data)
         if n.condition is None:
             return S.left_join(left, right)
+        left, right = self.with_sides(left, n.condition), self.with_sides(right, n.condition)
         if has_exists(n.condition):
             # the condition is decided on the joined rows; rows that fail keep the left side alone
             joined = self._filtered(S.join(left, right), n.condition, data)
@@ -73,7 +74,7 @@ class Builder:
         return S.left_join(left, right, lambda scope: self.compiler(scope).condition(n.condition))
 
     def _union(self, n: A.Union, data: Dataset) -> Solutions:
-        return S.union(self.build(n.left, data), self.build(n.right, data))
+        return S.union(self.named(self.build(n.left, data), data), self.named(self.build(n.right, data), data))
 
     def _minus(self, n: A.Minus, data: Dataset) -> Solutions:
         return S.semi_join(self.build(n.left, data), self.build(n.right, data), negated=True, both_bound=True)
@@ -84,25 +85,71 @@ class Builder:
     def _filtered(self, s: Solutions, condition, data: Dataset) -> Solutions:
         """Conjuncts one by one; EXISTS at the top is a semi or anti join, deeper a flag column."""
         s = self.with_sides(s, condition)
-        flags: dict[int, object] = {}
         plain = []
         for c in conjuncts(condition):
-            if isinstance(c, A.Exists):
+            if not isinstance(c, A.Exists):
+                plain.append(c)
+            elif (held := self.held(c.pattern, s, data)) is not None:
+                s = S.having_keys(s, *held, negated=c.negated)
+            else:
                 body, tests = self.exists_body(c.pattern, s, data)
                 s = S.semi_join(s, body, c.negated, tests)
-            else:
-                for e in exists_in(c):
-                    body, tests = self.exists_body(e.pattern, s, data)
-                    name = f"_flag{len(flags)}"
-                    s = S.flagged(s, body, name, tests)
-                    flags[id(e)] = ~F.col(name) if e.negated else F.col(name)
-                plain.append(c)
+        s, flags, names = self.with_flags(s, plain, data)
         if plain:
             compiler = self.compiler(s.scope(), flags)
             s = s.filter(reduce(lambda x, y: x & y, (compiler.condition(c) for c in plain)))
-        if flags:
-            s = Solutions(s.df.drop(*(f"_flag{i}" for i in range(len(flags)))), s.reps, s.maybe)
-        return s
+        return Solutions(s.df.drop(*names), s.reps, s.maybe) if names else s
+
+    def with_flags(self, s: Solutions, expressions: list, data: Dataset):
+        """Flag columns for the EXISTS within expressions: solutions, flags of the compiler, column names."""
+        flags, names = {}, []
+        for e in (x for expression in expressions for x in exists_in(expression)):
+            names.append(f"_flag{len(names)}")
+            if (held := self.held(e.pattern, s, data)) is not None:
+                s = S.flagged_keys(s, *held, flag=names[-1])
+            else:
+                body, tests = self.exists_body(e.pattern, s, data)
+                s = S.flagged(s, body, names[-1], tests)
+            flags[id(e)] = ~F.col(names[-1]) if e.negated else F.col(names[-1])
+        return s, flags, names
+
+    def held(self, pattern, outer: Solutions, data: Dataset) -> tuple[Solutions, list[str]] | None:
+        """Distinct values of outer variables for which a body with EXISTS of its own has a solution.
+
+        Needed where that inner EXISTS mentions variables which only the outer pattern binds: then no
+        join of outer and body alone can tell. Where the body shares nothing with the outer pattern and
+        the inner test is one NOT EXISTS, matches are counted against the body's rows (relational
+        division); else the test is decided for the pairs of outer values and body solutions.
+        """
+        if not isinstance(pattern, A.Filter) or not has_exists(pattern.condition):
+            return None
+        inner = set(A.in_scope(pattern.child))
+        far = (A.expression_vars(pattern.condition) - inner) & set(outer.reps)
+        if not far:
+            return None
+        keys = [v for v in outer.reps if v in far or v in inner]
+        own = outer.select(keys)
+        own = Solutions(own.df.distinct(), own.reps, own.maybe)
+        middle = self.build(pattern.child, data)
+        e = pattern.condition
+        if isinstance(e, A.Exists) and e.negated and not inner & set(outer.reps) and self.held(e.pattern, own, data) is None:
+            body, tests = self.exists_body(e.pattern, S.together(own, middle), data)
+            shared = [v for v in middle.reps if v in body.reps]
+            if tests is None and shared and set(keys) <= set(body.reps) and not own.maybe and not middle.maybe & set(shared) and not body.maybe & {*shared, *keys}:
+                return S.undivided(own, middle.select(shared), body.select([*keys, *shared])), keys
+        found = self._filtered(S.join(own, middle), e, data).select(keys)
+        return Solutions(found.df.distinct(), found.reps, found.maybe), keys
+
+    def graphs(self, data: Dataset) -> Solutions:
+        """The named graphs of the dataset, as values of the variable of GRAPH."""
+        g = self.store.quads().where(data.condition(F.col("g"))).select(F.col("g").alias(column_name(data.graph.name))).distinct()
+        return Solutions(g, {data.graph.name: ("term", "")})
+
+    def named(self, s: Solutions, data: Dataset) -> Solutions:
+        """Inside GRAPH ?g: solutions that bind ?g; those that do not hold in every named graph."""
+        if not isinstance(data.graph, A.Var) or data.graph.name in s.reps:
+            return s
+        return S.join(self.graphs(data), s)
 
     def exists_body(self, pattern, outer: Solutions, data: Dataset):
         """The body without the filters that need outer variables, and these as a join condition."""
@@ -119,20 +166,15 @@ class Builder:
         return body, lambda scope: V.all_of([self.compiler(scope).condition(t) for t in tests])
 
     def _extend(self, n: A.Extend, data: Dataset) -> Solutions:
-        s = self.with_sides(self.build(n.child, data), n.expr)
-        flags, names = {}, []
-        for e in exists_in(n.expr):
-            body, tests = self.exists_body(e.pattern, s, data)
-            names.append(f"_flag{len(names)}")
-            s = S.flagged(s, body, names[-1], tests)
-            flags[id(e)] = ~F.col(names[-1]) if e.negated else F.col(names[-1])
+        s, flags, names = self.with_flags(self.with_sides(self.build(n.child, data), n.expr), [n.expr], data)
         v = V.settled(self.compiler(s.scope(), flags)(n.expr))
         df = s.df.withColumn(column_name(n.var), v.col).drop("_unit", *names)
         sure = isinstance(n.expr, A.Term) or (isinstance(n.expr, A.Var) and n.expr.name in s.reps and n.expr.name not in s.maybe)
         return Solutions(df, s.reps | {n.var: v.rep()}, s.maybe if sure else s.maybe | {n.var})
 
     def _graph(self, n: A.Graph, data: Dataset) -> Solutions:
-        return self.build(n.child, replace(data, graph=n.name))
+        inside = replace(data, graph=n.name)
+        return self.named(self.build(n.child, inside), inside)
 
     def _values(self, n: A.Values, data: Dataset) -> Solutions:
         schema = ", ".join(f"{column_name(v)} string" for v in n.names) or "_unit int"
@@ -142,9 +184,14 @@ class Builder:
         return Solutions(df, dict.fromkeys(n.names, ("term", "")), maybe)
 
     def _group(self, n: A.Group, data: Dataset) -> Solutions:
-        s = self.build(n.child, data)
-        c = self.compiler(s.scope())
-        keys = [(name, V.settled(c(e))) for name, e in n.keys]
+        inputs = [*(e for _, e in n.keys), *(a.arg for _, a in n.aggregates if a.arg is not None)]
+        s = self.named(self.build(n.child, data), data)
+        s, flags, _ = self.with_flags(self.with_sides(s, *inputs), inputs, data)
+        c = self.compiler(s.scope(), flags)
+        by = n.keys
+        if isinstance(data.graph, A.Var) and data.graph.name not in dict(by):
+            by = [*by, (data.graph.name, data.graph)]  # each named graph has groups of its own
+        keys = [(name, V.settled(c(e))) for name, e in by]
         made = []
         for i, (name, a) in enumerate(n.aggregates):
             v = None if a.arg is None else V.settled(c(a.arg))
@@ -155,12 +202,14 @@ class Builder:
         grouped = s.df.groupBy(*(v.col.alias(column_name(k)) for k, v in keys)) if keys else s.df.groupBy()
         df = grouped.agg(*(col.alias(column_name(k)) for k, col, _ in made)) if made else grouped.agg(F.lit(1).alias("_unit")).drop("_unit" if keys else "")
         reps = {k: v.rep() for k, v in keys} | {k: rep for k, _, rep in made}
-        sure = {k for k, e in n.keys if isinstance(e, A.Var) and e.name in s.reps and e.name not in s.maybe}
+        sure = {k for k, e in by if isinstance(e, A.Var) and e.name in s.reps and e.name not in s.maybe}
         sure |= {name for name, a in n.aggregates if a.name == "COUNT"}
         return Solutions(df, reps, set(reps) - sure)
 
     def _project(self, n: A.Project, data: Dataset) -> Solutions:
-        return self.build(n.child, replace(data)).select(n.names)
+        s = self.named(self.build(n.child, data), data)
+        inside = [data.graph.name] if isinstance(data.graph, A.Var) and data.graph.name not in n.names else []
+        return s.select([*n.names, *inside])
 
     def _distinct(self, n: A.Distinct, data: Dataset) -> Solutions:
         s = self.build(n.child, data)
@@ -168,12 +217,14 @@ class Builder:
 
     def _orderby(self, n: A.OrderBy, data: Dataset) -> Solutions:
         s = self.build(n.child, data)
-        c = self.compiler(s.scope())
+        by = [e for e, _ in n.keys]
+        s, flags, names = self.with_flags(self.with_sides(s, *by), by, data)
+        c = self.compiler(s.scope(), flags)
         keys = []
         for e, up in n.keys:
             for k in V.order_keys(c(e)):
                 keys.append(k.asc_nulls_first() if up else k.desc_nulls_last())
-        return Solutions(s.df.orderBy(*keys), s.reps, s.maybe)
+        return Solutions(s.df.orderBy(*keys).drop(*names), s.reps, s.maybe)
 
     def _slice(self, n: A.Slice, data: Dataset) -> Solutions:
         s = self.build(n.child, data)
@@ -203,6 +254,12 @@ def has_exists(e) -> bool:
     return bool(exists_in(e))
 
 
+def _quotient(total, n):
+    """total / n as a decimal(38,18)."""
+    whole = F.try_divide(total.try_cast("decimal(38,18)"), n.cast("decimal(10,0)"))
+    return F.coalesce(whole.try_cast("decimal(38,18)"), F.try_divide(total.cast("double"), n.cast("double")).try_cast("decimal(38,18)"))
+
+
 def aggregate(a: A.Aggregate, v: Val | None, s: Solutions):
     """(Column, representation) of an aggregate. SUM and AVG are unbound if any value is no number."""
     if a.name == "COUNT":
@@ -212,7 +269,7 @@ def aggregate(a: A.Aggregate, v: Val | None, s: Solutions):
         return (F.count_distinct(v.col) if a.distinct else F.count(v.col)), ("int", "")
     native = v.kind in V.NUMBER_KINDS
     if a.name in ("SUM", "AVG"):
-        pick = (F.sum_distinct if a.distinct else F.sum) if a.name == "SUM" else (lambda c: F.sum_distinct(c) / F.count_distinct(c)) if a.distinct else F.avg
+        pick = (F.sum_distinct if a.distinct else F.try_sum) if a.name == "SUM" else (lambda c: F.sum_distinct(c) / F.count_distinct(c)) if a.distinct else F.avg
         n = v.col if native else V.num(v)
         whole = F.count(F.lit(1)) == F.count(n)
         if native:
@@ -223,7 +280,15 @@ def aggregate(a: A.Aggregate, v: Val | None, s: Solutions):
             out = out.try_cast("decimal(38,18)") if kind == "decimal" else out
             return F.when(F.count(F.lit(1)) == 0, zero).when(whole, out), (kind, "")
         ranked = F.max(V.rank(v)) if a.name == "SUM" else F.greatest(F.max(V.rank(v)), F.lit(1))
-        return F.when(F.count(F.lit(1)) == 0, F.lit(T.integer(0))).when(whole, V.number_text(pick(n), ranked)), ("term", "")
+        # integers and decimals are summed exactly as long as all values and the sum fit
+        precise = V.exact(v)
+        add, fits = F.sum_distinct if a.distinct else F.try_sum, F.count(precise) == F.count(n)
+        integer, total = add(precise.cast("decimal(38,0)")), add(precise)
+        if a.name == "AVG":
+            many = (F.count_distinct if a.distinct else F.count)(precise)
+            integer, total = None, F.when(F.max(V.rank(v)) == 0, _quotient(integer, many)).otherwise(_quotient(total, many))
+        text = V.number_text(pick(n), ranked, F.when(fits, total), None if integer is None else F.when(fits, integer))
+        return F.when(F.count(F.lit(1)) == 0, F.lit(T.integer(0))).when(whole, text), ("term", "")
     if a.name in ("MIN", "MAX"):
         if v.kind != "term" and v.kind != "iri":
             return (F.min if a.name == "MIN" else F.max)(v.col), v.rep()
