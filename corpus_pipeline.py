@@ -34,22 +34,35 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8)."""
-    gone = minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8).
+
+    The one with the smallest id stays. Where ids are null or repeat, every text of an id is a document
+    of its own and the one whose hash of id and text is smallest stays; of rows that repeat both, one.
+    Null and wordless texts all stay. An empty table gives no rows.
+    """
+    unique = docs.groupBy(docs["doc_id"]).agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty()
+    own = docs["doc_id"] if unique else F.xxhash64(docs["doc_id"], docs["text"])
+    gone = minhash.near_duplicates(docs.select(own.alias("doc_id"), docs["text"])).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
+    rows = docs.select(own.alias("own"), (mixing.word_count(docs["text"]) > 0).alias("worded"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    rows = rows.join(gone, rows["own"] == gone["gone_id"], "left_anti")
+    if not unique:
+        one = rows.where("worded").groupBy("own").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        rows = one.select("row").unionByName(rows.where("not worded").select("row"))
+    return rows.select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
+    """Each document as many times as the mix takes it: not at all, once or twice.
+
+    Null sources are one source; a text without words is taken no times; repeated rows each as often as
+    the one of them that is taken most. An empty table gives no rows.
+    """
     taken = mixing.mix(docs).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"))
-    taken = stored(taken.select(*(F.col(c).alias(f"mix_{c}") for c in taken.columns)), "copies")
-    same = (
-        docs["doc_id"].eqNullSafe(taken["mix_doc_id"])
-        & docs["source"].eqNullSafe(taken["mix_source"])
-        & (mixing.word_count(docs["text"]) == taken["mix_size"])
-    )
-    repeated = docs.join(taken, same).select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("mix_copy"))
-    return repeated.select(docs.columns)
+    taken = stored(taken, "copies")
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), mixing.word_count(docs["text"]).alias("words"))
+    same = rows["row.doc_id"].eqNullSafe(taken["doc_id"]) & rows["row.source"].eqNullSafe(taken["source"]) & (rows["words"] == taken["size"])
+    repeated = rows.join(taken, same).select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return repeated.select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
