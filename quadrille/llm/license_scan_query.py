@@ -12,17 +12,12 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
-def op2_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scan with word windows in place of lines, which sees notices that are wrapped."""
-    return scan(table(spark, sf_dir, "documents"), windows=True)
-
-
 def _list(values: list[str]) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
 
 def oracle() -> str:
-    """The same result by direct counting, without filters."""
+    """The same result by direct counting of every window of every text, without filters."""
     places, flags = [], []
     for i, (phrase, label) in enumerate(PHRASES):
         parts = phrase.split()
@@ -35,12 +30,13 @@ def oracle() -> str:
     best = []
     for text, label in TEMPLATES:
         t = tokens_of(text)
-        best.append(f"select doc_id, '{label}' as label, len(list_intersect(b, {_list(t)})) as n, {len(t)} as size, {need(len(t), CONTAINMENT)} as need from lines")
+        told = "".join(f" and list_contains(b, '{x}')" for x in t if x in TELLING)
+        window = f"select doc_id, unnest(list_transform(range(1, len(w) + 1), lambda i: w[i : i + {width(text, CONTAINMENT) - 1}])) as b from worded"
+        best.append(f"select doc_id, '{label}' as label, len(list_intersect(list_distinct(b), {_list(t)})) as n, {len(t)} as size, {need(len(t), CONTAINMENT)} as need from ({window}) where true{told}")
     return f"""
 with docs as (select doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') as low from documents),
 worded as (select doc_id, low, regexp_extract_all(low, '{WORD}') as w from docs),
 placed as (select doc_id, len(w) as n_words, {", ".join(places)} from worded),
-lines as (select doc_id, list_distinct(regexp_extract_all(line, '{WORD}')) as b from (select doc_id, unnest(string_split(low, chr(10))) as line from docs)),
 held as ({" union all ".join(best)}),
 found as (select doc_id, list(distinct label) as more, max(n / size) as part from held where n >= need group by doc_id),
 based as (select doc_id, n_words, list_sort({every}) as every, {base} as base from placed)
@@ -51,18 +47,5 @@ select doc_id, n_words, len(every) as n_base, every[1] as first_word, every[-1]
 from based left join found using (doc_id)"""
 
 
-def windows_oracle() -> str:
-    """Every window of every text, counted directly: the SQL above with another ``held``."""
-    best = []
-    for text, label in TEMPLATES:
-        t = tokens_of(text)
-        told = "".join(f" and list_contains(b, '{x}')" for x in t if x in TELLING)
-        window = f"select doc_id, unnest(list_transform(range(1, len(w) + 1), lambda i: w[i : i + {width(text, CONTAINMENT) - 1}])) as b from worded"
-        best.append(f"select doc_id, '{label}' as label, len(list_intersect(list_distinct(b), {_list(t)})) as n, {len(t)} as size, {need(len(t), CONTAINMENT)} as need from ({window}) where true{told}")
-    sql = oracle()
-    start, end = sql.index("lines as ("), sql.index("found as (")
-    return f"{sql[:start]}held as ({' union all '.join(best)}),\n{sql[end:]}"
-
-
-QUERIES = {"op2_license_scan": op2_license_scan, "op2_license_windows": op2_license_windows}
-ORACLES = {"op2_license_scan": oracle(), "op2_license_windows": windows_oracle()}
+QUERIES = {"op2_license_scan": op2_license_scan}
+ORACLES = {"op2_license_scan": oracle()}
