@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from ..engine import Engine
 from ..functions import terms as T
 from ..operators import derived as D
 from ..operators import kgquery as K
-from ..sources.store import DEFAULT_GRAPH, QuadStore
+from ..operators import kgobjects as O
+from ..operators.cut import shared_folder
+from ..operators.spaces import Space
+from ..sources.store import DEFAULT_GRAPH
 
 QUERIES, ORACLES = {}, {}
 
 
-def engine(spark, sf_dir) -> Engine:
+def graph(spark, sf_dir):
     """Customers are entities; an order is a frame with a total and a status slot; a customer's nation is
     a relation."""
     customer, orders, nation = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("customer", "orders", "nation"))
@@ -21,23 +26,54 @@ def engine(spark, sf_dir) -> Engine:
     c = lambda prefix, col: F.concat(F.lit("I" + prefix), F.col(col).cast("string"))
     text = lambda col: F.concat(F.lit("S"), F.col(col))
 
-    def made(df, triples):
-        rows = F.array(*(F.struct(s.alias("s"), p.alias("p"), o.alias("o")) for s, p, o in triples))
-        return df.select(F.explode(rows).alias("q")).select("q.*", F.lit(DEFAULT_GRAPH).alias("g"))
-
     e, r = c("urn:customer:", "c_custkey"), c("urn:rel:", "c_custkey")
-    people = made(customer, [(e, i(T.RDF_TYPE), i(K.ENTITY)), (e, i(K.ENTITY_TYPE), c("urn:segment:", "c_mktsegment")), (e, i(D.NAME), text("c_name")), (r, i(D.EDGE_SOURCE), e), (r, i(D.EDGE_DEST), c("urn:nation:", "c_nationkey")), (r, i(K.RELATION_TYPE), i("urn:lives_in"))])
+    people = made(customer, [(e, i(T.RDF_TYPE), i(K.ENTITY)), (e, i(K.ENTITY_TYPE), c("urn:segment:", "c_mktsegment")), (e, i(D.NAME), text("c_name")), (e, i(K.REFERENCE), F.concat(F.lit("Sref-"), F.col("c_custkey").cast("string"))), (r, i(D.EDGE_SOURCE), e), (r, i(D.EDGE_DEST), c("urn:nation:", "c_nationkey")), (r, i(K.RELATION_TYPE), i("urn:lives_in"))])
     n = c("urn:nation:", "n_nationkey")
     places = made(nation, [(n, i(T.RDF_TYPE), i(K.ENTITY)), (n, i(K.ENTITY_TYPE), i("urn:nation")), (n, i(D.NAME), text("n_name"))])
     f, owner = c("urn:order:", "o_orderkey"), c("urn:customer:", "o_custkey")
-    ids = [c(f"urn:{x}:", "o_orderkey") for x in ("oe", "te", "se", "ts", "ss")]
+    ids = [c(f"urn:{x}:", "o_orderkey") for x in ("oe", "te", "se", "ts", "ss", "pe", "ps")]
     total = F.concat(F.lit(f"T{T.XSD}double "), F.col("o_totalprice").cast("string"))
     frames = made(
         orders,
         [(f, i(K.FRAME_TYPE), i("urn:OrderFrame")), (ids[0], i(D.EDGE_SOURCE), owner), (ids[0], i(D.EDGE_DEST), f), (ids[1], i(D.EDGE_SOURCE), f), (ids[1], i(D.EDGE_DEST), ids[3]), (ids[2], i(D.EDGE_SOURCE), f), (ids[2], i(D.EDGE_DEST), ids[4])]
-        + [(ids[3], i(D.SLOT_TYPE), i("urn:total")), (ids[3], i(K.VALUE_PROPERTIES[float]), total), (ids[4], i(D.SLOT_TYPE), i("urn:status")), (ids[4], i(K.VALUE_PROPERTIES[str]), text("o_orderstatus"))],
+        + [(ids[3], i(D.SLOT_TYPE), i("urn:total")), (ids[3], i(K.VALUE_PROPERTIES[float]), total), (ids[4], i(D.SLOT_TYPE), i("urn:status")), (ids[4], i(K.VALUE_PROPERTIES[str]), text("o_orderstatus"))]
+        + [(ids[5], i(D.EDGE_SOURCE), f), (ids[5], i(D.EDGE_DEST), ids[6]), (ids[6], i(D.SLOT_TYPE), i("urn:priority")), (ids[6], i(K.VALUE_PROPERTIES[str]), text("o_orderpriority"))],
     )
-    return Engine(QuadStore(people.unionByName(places).unionByName(frames)))
+    line, edge = c("urn:line:", "o_orderkey"), c("urn:le:", "o_orderkey")
+    lines = made(orders.where("o_orderstatus = 'P'"), [(line, i(K.FRAME_TYPE), i("urn:LineFrame")), (edge, i(D.EDGE_SOURCE), f), (edge, i(D.EDGE_DEST), line)])
+    return people.unionByName(places).unionByName(frames).unionByName(lines)
+
+
+def documents(spark, sf_dir):
+    """Documents in two segments of half their characters each."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
+    d, seg = F.concat(F.lit("Iurn:doc:"), "doc_id"), F.concat(F.lit("Iurn:seg:"), "doc_id", F.lit("-"), F.col("k").cast("string"))
+    i, number = (lambda x: F.lit(T.iri(x))), (lambda c: F.concat(F.lit(f"T{T.XSD}integer "), c.cast("string")))
+    whole = [(d, i(T.RDF_TYPE), i(K.DOCUMENT)), (d, i(K.DOCUMENT_TYPE), F.concat(F.lit("Iurn:lang:"), F.coalesce("lang", F.lit("none"))))]
+    part = [(seg, i(T.RDF_TYPE), i(K.DOCUMENT)), (seg, i(K.SEGMENT_INDEX), number(F.col("k"))), (seg, i(K.SEGMENT_TYPE), i("urn:segtype:half")), (seg, i(K.SEGMENT_METHOD), i("urn:segmethod:halves")), (seg, i(K.SEGMENT_TOKENS), number(F.floor(F.length("text") / 2))), (seg, i(K.PARENT), d)]
+    return made(docs, whole).unionByName(made(docs.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2)))), part))
+
+
+def made(df, triples):
+    rows = F.array(*(F.struct(s.alias("s"), p.alias("p"), o.alias("o")) for s, p, o in triples))
+    return df.select(F.explode(rows).alias("q")).select("q.*", F.lit(DEFAULT_GRAPH).alias("g"))
+
+
+#: Spaces that hold the graph, by application and input: loaded once, as a database would be.
+_loaded: dict[tuple[str, str], Space] = {}
+
+
+def engine(spark, sf_dir) -> Engine:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _loaded:
+        space = Space(spark, shared_folder(spark), "kg-" + uuid4().hex).create()
+        space.replace(graph(spark, sf_dir).unionByName(documents(spark, sf_dir)))
+        _loaded[key] = space
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    lat, lon = "((c_custkey * 37) % 180 - 90)", "((c_custkey * 71) % 360 - 180)"
+    places = customer.select(F.concat(F.lit("Iurn:customer:"), "c_custkey").alias("s"), F.expr(lat).cast("double").alias("lat"), F.expr(lon).cast("double").alias("lon"))
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.concat(F.lit("Iurn:customer:"), "vec_id").alias("s"), F.col("embedding").alias("vector"))
+    return Engine(_loaded[key].store(statistics=True), indexes={"places": places, "vectors": vectors})
 
 
 def registered(name: str, run, oracle: str):
@@ -58,3 +94,39 @@ registered("kg_total_bounded", lambda e: K.total(e, K.EntityQuery("urn:segment:B
 REL = "select 'urn:customer:' || c_custkey as {a}, 'urn:rel:' || c_custkey as edge, 'urn:nation:' || c_nationkey as {b}, 'urn:lives_in' as relation_type from customer where c_mktsegment = 'BUILDING'"
 registered("kg_relations_out", lambda e: K.relations(e, K.RelationQuery("urn:lives_in", "out", K.EntityQuery("urn:segment:BUILDING"))), REL.format(a="source", b="destination"))
 registered("kg_relations_in", lambda e: K.relations(e, K.RelationQuery("urn:lives_in", "in", K.EntityQuery("urn:nation"), K.EntityQuery("urn:segment:BUILDING"))), REL.format(a="destination", b="source"))
+
+# the other kinds of query, over the same graph
+OF = "select 'urn:order:' || o_orderkey as frame"
+registered("kg_frames", lambda e: K.frames(e, K.FrameQuery(order(K.Slot("urn:total", 400000.0, "gte")))), OF + " from orders where o_totalprice >= 400000")
+registered("kg_frames_of_owner", lambda e: K.frames(e, K.FrameQuery(order(K.Slot("urn:status", "P")), K.EntityQuery("urn:segment:BUILDING"))), OF + ", 'urn:customer:' || o_custkey as entity from orders join customer on o_custkey = c_custkey where o_orderstatus = 'P' and c_mktsegment = 'BUILDING'")
+registered("kg_documents_originals", lambda e: K.run(e, K.DocumentQuery("originals", document_type="urn:lang:de")), "select 'urn:doc:' || doc_id as entity from documents where lang = 'de' and text is not null")
+registered("kg_segments_by_tokens", lambda e: K.run(e, K.DocumentQuery("segments", method="urn:segmethod:halves", tokens=(500, 900))), "select 'urn:seg:' || doc_id || '-' || k as entity from documents, (values (1), (2)) v(k) where length(text) // 2 between 500 and 900")
+registered("kg_segments_grouped", lambda e: K.run(e, K.DocumentQuery("segments", tokens=(800, None), by_document=True)), "select 'urn:doc:' || doc_id as document, 2 as segments from documents where length(text) // 2 >= 800")
+registered("kg_relation_count", lambda e: K.relation_count(e, K.RelationQuery("urn:lives_in", "both")), "select count(*) as total from customer")
+registered("kg_entities_by_iri", lambda e: K.run(e, K.EntityQuery(iris=["urn:customer:3", "urn:customer:5", "urn:none"])), E + "c_custkey in (3, 5)")
+registered("kg_entities_by_reference", lambda e: K.run(e, K.EntityQuery(references=["ref-7", "ref-11"])), E + "c_custkey in (7, 11)")
+registered("kg_entities_near", lambda e: K.run(e, K.EntityQuery("urn:segment:BUILDING", searches=[K.Search("withinBounds", [10, -20, 60, 40])])), E + "c_mktsegment = 'BUILDING' and ((c_custkey * 37) % 180 - 90) between 10 and 60 and ((c_custkey * 71) % 360 - 180) between -20 and 40")
+PROBE = [round(((i * 37) % 19 - 9) / 10, 1) for i in range(64)]
+COS = f"list_cosine_similarity(embedding::double[], {PROBE}::double[])"
+registered("kg_entities_like", lambda e: K.run(e, K.EntityQuery(searches=[K.Search("vectorNearby", [str(PROBE), "vectors"], 0.15)])), f"select 'urn:customer:' || vec_id as entity from embeddings join customer on c_custkey = vec_id where {COS} >= 0.15")
+registered("kg_entities_by_score", lambda e: K.run(e, K.EntityQuery("urn:segment:BUILDING", searches=[K.Search("vectorNearby", [str(PROBE), "vectors"], -1.0)], sort=[K.Sort(search=K.Search("vectorNearby", [str(PROBE), "vectors"]), descending=True)], limit=10)), f"select 'urn:customer:' || vec_id as entity from embeddings join customer on c_custkey = vec_id where c_mktsegment = 'BUILDING' order by {COS} desc, entity limit 10")
+registered("kg_listing", lambda e: K.listing(e, K.ENTITY, limit=20, offset=10), "select entity, name from (select 'urn:customer:' || c_custkey as entity, c_name as name from customer union all select 'urn:nation:' || n_nationkey, n_name from nation) order by entity limit 20 offset 10")
+registered("kg_hierarchy", lambda e: K.hierarchy(e), "select 'urn:order:' || o_orderkey as parent, 'urn:line:' || o_orderkey as child from orders where o_orderstatus = 'P'")
+registered("kg_nested_frames", lambda e: K.run(e, K.EntityQuery(frames=[order(frames=[K.Frame("urn:LineFrame")])])), E + "exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P')")
+for comparator, value, test in (
+    ("eq", "O", "o_orderstatus = 'O'"),
+    ("ne", "O", "o_orderstatus <> 'O'"),
+    ("lt", "O", "o_orderstatus < 'O'"),
+    ("gte", "O", "o_orderstatus >= 'O'"),
+    ("lte", "O", "o_orderstatus <= 'O'"),
+    ("exists", None, "true"),
+    ("not_exists", None, "false"),
+    ("is_empty", None, "o_orderstatus = ''"),
+    ("has", "P", "o_orderstatus = 'P'"),
+    ("has_all", ["P"], "o_orderstatus = 'P'"),
+    ("not_has", "P", "o_orderstatus <> 'P'"),
+    ("not_has_any", ["P", "O"], "o_orderstatus not in ('P', 'O')"),
+):
+    registered(f"kg_slot_{comparator}", lambda e, c=comparator, v=value: K.frames(e, K.FrameQuery(order(K.Slot("urn:status", v, c)))), OF + f" from orders where {test}")
+registered("kg_slot_contains", lambda e: K.frames(e, K.FrameQuery(order(K.Slot("urn:priority", "URGENT", "contains")))), OF + " from orders where contains(lower(o_orderpriority), 'urgent')")
+registered("kg_invalid", lambda e: O.invalid(e.store.quads().where(~F.col("s").startswith("Iurn:oe:")).where("s not like 'Iurn:doc:%' and s not like 'Iurn:seg:%'")).groupBy("problem").agg(F.count("*").alias("nodes")), "select 'orphan' as problem, (select 4 * count(*) + count(case when o_orderstatus = 'P' then 1 end) from orders) as nodes")

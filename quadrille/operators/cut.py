@@ -4,17 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; only a local session may go without it."""
+    sc = spark.sparkContext
+    path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if path is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="quadrille-checkpoint-")
+        sc.setCheckpointDir(path)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to the folder in ``spark.checkpoint.dir``; only a local session may go without it."""
+    """Checkpoint to the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        path = sc.getConf().get("spark.checkpoint.dir")
-        if path is None:
-            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            path = tempfile.mkdtemp(prefix="quadrille-checkpoint-")
-        sc.setCheckpointDir(path)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -35,6 +35,16 @@ def edges(quads: DataFrame) -> DataFrame:
     return one.where("source is not null and dest is not null").select("edge", "source", "dest", "g")
 
 
+def slots(quads: DataFrame, properties: list[str], links: DataFrame | None = None) -> DataFrame:
+    """(frame, slot, slot_type, property, value, g): the values of every slot that an edge ties to a frame;
+    ``links`` is the edge table, if there is one."""
+    own = quads.where(F.col("p").isin(T.iri(SLOT_TYPE), *map(T.iri, properties)))
+    typed = own.where(F.col("p") == T.iri(SLOT_TYPE)).select(F.col("s").alias("slot"), F.col("o").alias("slot_type"), "g")
+    valued = own.where(F.col("p") != T.iri(SLOT_TYPE)).select(F.col("s").alias("slot"), F.col("p").alias("property"), F.col("o").alias("value"), "g")
+    of = (edges(quads) if links is None else links).select(F.col("source").alias("frame"), F.col("dest").alias("slot"), "g")
+    return of.join(typed, ["slot", "g"]).join(valued, ["slot", "g"], "left").select("frame", "slot", "slot_type", "property", "value", "g")
+
+
 def frame_entities(quads: DataFrame, source_slot: str = SOURCE_SLOT, dest_slot: str = DEST_SLOT) -> DataFrame:
     """(frame, source_entity, dest_entity, g): a frame's slots folded by conditional aggregation."""
     slots = quads.where(F.col("p").isin(T.iri(SLOT_TYPE), T.iri(SLOT_VALUE)))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,63 +48,60 @@ def delete(quads: DataFrame, less: DataFrame) -> DataFrame:
 def apply_update(quads: DataFrame, text: str, prefixes: dict[str, str] | None = None, graphs: frozenset[str] = frozenset()) -> tuple[DataFrame, frozenset[str]]:
     """Run ``;``-separated operations; returns the new quads and the graphs that CREATE registered."""
     for u in Parser(text, prefixes).update():
-        quads, graphs = _one(quads, u, graphs)
+        removed, added, graphs = changes(quads, u, graphs)
+        quads = quads if removed is None else delete(quads, removed)
+        quads = quads if added is None else insert(quads, added)
     return quads, graphs
 
 
-def _one(quads: DataFrame, u: A.Update, graphs: frozenset[str]) -> tuple[DataFrame, frozenset[str]]:
+def changes(quads: DataFrame, u: A.Update, graphs: frozenset[str], indexes: dict | None = None, embed=None) -> tuple[DataFrame | None, DataFrame | None, frozenset[str]]:
+    """(removed, added, graphs) of one operation: quads to take away, then quads to put in, None without any."""
     spark, g = quads.sparkSession, F.col("g")
     match u.kind:
         case "insert_data":
-            return insert(quads, ground(spark, u.insert, True)), graphs
+            return None, ground(spark, u.insert, True), graphs
         case "delete_data":
-            return delete(quads, ground(spark, u.delete, False)), graphs
+            return ground(spark, u.delete, False), None, graphs
         case "modify":
             using = tuple(map(T.iri, u.using)) if u.using or u.using_named else (T.iri(u.within),) if u.within else None
             named = tuple(map(T.iri, u.using_named)) if u.using or u.using_named else None
-            engine = Engine(QuadStore(quads))
+            engine = Engine(QuadStore(quads), indexes=indexes, embed=embed)
             s = engine.builder().build(u.pattern, Dataset(using, named))
             s.df = cut(s.df)  # both templates see the bindings of the old snapshot, evaluated once
-            out = quads
             gone = instantiate(u.delete, s, True)
-            if gone is not None:
-                if any(t[3] is None for t in u.delete) and using is None:
-                    # without a graph the pattern saw the union of all, and so does the deletion
-                    loose = instantiate([t for t in u.delete if t[3] is None], s, False)
-                    out = out.join(loose.distinct(), ["s", "p", "o"], "left_anti").select(KEYS)
-                out = delete(out, gone)
-            new = instantiate(u.insert, s, True)
-            return (out if new is None else insert(out, new)), graphs
+            if gone is not None and using is None and any(t[3] is None for t in u.delete):
+                # without a graph the pattern saw the union of all, and so does the deletion
+                loose = instantiate([t for t in u.delete if t[3] is None], s, False)
+                gone = gone.unionByName(quads.join(loose.distinct(), ["s", "p", "o"], "left_semi").select(KEYS))
+            return gone, instantiate(u.insert, s, True), graphs
         case "clear":
             match u.target:
                 case "ALL":
-                    return quads.where(F.lit(False)), frozenset()
+                    return quads, None, frozenset()
                 case "NAMED":
-                    return quads.where(g == DEFAULT_GRAPH), frozenset()
+                    return quads.where(g != DEFAULT_GRAPH), None, graphs
                 case _:
-                    return quads.where(g != _graph(u.target)), graphs - {_graph(u.target)}
+                    return quads.where(g == _graph(u.target)), None, graphs - {_graph(u.target)}
         case "create":
             name = T.iri(u.target)
             if not u.silent and (name in graphs or not quads.where(g == name).isEmpty()):
                 raise UpdateError(f"graph <{u.target}> exists")
-            return quads, graphs | {name}
+            return None, None, graphs | {name}
         case "copy" | "move" | "add":
             source, target = _graph(u.source), _graph(u.target)
             if source == target:
-                return quads, graphs
-            moved = quads.where(g == source).withColumn("g", F.lit(target))
-            kept = quads if u.kind == "add" else quads.where(g != target)
-            kept = kept.where(g != source) if u.kind == "move" else kept
-            return insert(kept, moved), graphs
+                return None, None, graphs
+            gone = {"copy": g == target, "move": g.isin(source, target), "add": None}[u.kind]
+            moved = quads.where(g == source).withColumn("g", F.lit(target)).select(KEYS)
+            return None if gone is None else quads.where(gone), moved, graphs
         case "load":
             from ..sources.rdf_files import read_rdf
 
             try:
-                more = read_rdf(spark, u.source.removeprefix("file://"), graph=None if u.target is None else T.iri(u.target))
-                return insert(quads, more), graphs
+                return None, read_rdf(spark, u.source.removeprefix("file://"), graph=None if u.target is None else T.iri(u.target)), graphs
             except Exception:
                 if u.silent:
-                    return quads, graphs
+                    return None, None, graphs
                 raise
     raise UpdateError(f"unknown update {u.kind}")
 
@@ -116,6 +111,3 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     added = new.select(KEYS).exceptAll(old.select(KEYS)).withColumn("change", F.lit("added"))
     return added.unionByName(old.select(KEYS).exceptAll(new.select(KEYS)).withColumn("change", F.lit("removed")))
 
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

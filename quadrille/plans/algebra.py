@@ -86,6 +86,14 @@ class BGP:
     triples: list
 
 
+@dataclass
+class Derived:
+    """Rows of a derived table of the store; columns without a cell are dropped."""
+
+    table: str
+    cells: dict  # column -> Term or Var
+
+
 @dataclass
 class PathPattern:
     s: object
@@ -219,6 +227,9 @@ def in_scope(node) -> list[str]:
                     term(t.s), term(t.p), term(t.o)
             case PathPattern(s, _, o):
                 term(s), term(o)
+            case Derived(_, cells):
+                for x in cells.values():
+                    term(x)
             case Join(a, b) | LeftJoin(a, b) | Union(a, b):
                 walk(a), walk(b)
             case Minus(a, _) | Filter(a, _) | Distinct(a) | OrderBy(a, _) | Slice(a, _, _):

@@ -14,7 +14,7 @@ from ..functions.values import Val
 from ..operators import solutions as S
 from ..operators.paths import Paths
 from ..operators.solutions import Solutions, column_name
-from ..sources.store import Dataset, Store
+from ..sources.store import Dataset, Store, bind_pattern
 from . import algebra as A
 
 
@@ -45,6 +45,14 @@ class Builder:
     def _bgp(self, n: A.BGP, data: Dataset) -> Solutions:
         return self.store.bgp(n.triples, data)
 
+    def _derived(self, n: A.Derived, data: Dataset) -> Solutions:
+        df = self.store.derived[n.table]
+        df = df.where(data.condition(F.col("g")))
+        cells = [(want, Val("term", F.col(c))) for c, want in n.cells.items()]
+        if isinstance(data.graph, A.Var):
+            cells.append((data.graph, Val("term", F.col("g"))))
+        return bind_pattern(df, cells)
+
     def _pathpattern(self, n: A.PathPattern, data: Dataset) -> Solutions:
         start, end = (x.text if isinstance(x, A.Term) else None for x in (n.s, n.o))
         pairs = Paths(self.store, data).pairs(n.path, start, end)

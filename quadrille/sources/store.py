@@ -81,6 +81,8 @@ class Store:
     """Interface: ``bgp`` answers a basic graph pattern, ``edges`` a predicate's pairs."""
 
     spark: SparkSession
+    #: Derived tables with canonical terms and a column g: edges (source, dest), slots (frame, slot_type, property, value).
+    derived: dict[str, DataFrame] = {}
 
     def bgp(self, triples: list[A.Triple], data: Dataset) -> Solutions:
         raise NotImplementedError
@@ -119,10 +121,12 @@ def triple_vars(t: A.Triple) -> set[str]:
 
 
 class QuadStore(Store):
-    """A set of quads. ``statistics`` (predicate -> count) steers join order where it is known."""
+    """A set of quads. ``statistics`` (predicate -> count) steers join order where it is known; ``derived``
+    are tables that queries over entities, frames and slots read in place of the quads."""
 
-    def __init__(self, quads: DataFrame, statistics: dict[str, int] | None = None, graphs: frozenset[str] = frozenset()):
+    def __init__(self, quads: DataFrame, statistics: dict[str, int] | None = None, graphs: frozenset[str] = frozenset(), derived: dict[str, DataFrame] | None = None):
         self.spark, self._quads, self.statistics, self.graphs = quads.sparkSession, quads, statistics or {}, graphs
+        self.derived = derived or {}
 
     def quads(self, predicates: list[str] | None = None) -> DataFrame:
         return self._quads if predicates is None else self._quads.where(F.col("p").isin(*predicates))

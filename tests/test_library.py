@@ -98,3 +98,82 @@ def test_rollup_stream_equals_batch(spark, tmp_path):
     events.write.parquet(str(tmp_path / "events"))
     got = stream_to_table(spark, str(tmp_path / "events"), events.schema, "rolled", str(tmp_path / "check"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rollup(events).collect()))
+
+
+def files_of(folder):
+    return {str(f.relative_to(folder)): f.stat().st_mtime_ns for f in folder.rglob("*.parquet") if f.is_file()}
+
+
+def test_space_writes_deltas_and_keeps_derived_tables(spark, tmp_path, monkeypatch):
+    """One triple does not rewrite the space; edges, slots and counts equal those derived anew after every write."""
+    from quadrille.functions import terms as T
+    from quadrille.operators import derived as D
+    from quadrille.operators import spaces as P
+
+    monkeypatch.setattr(P, "MOST_DELTAS", 3)
+    s = Space(spark, str(tmp_path), "d").create()
+    s.update(
+        f"""INSERT DATA {{ <urn:e1> <{D.EDGE_SOURCE}> <urn:f> ; <{D.EDGE_DEST}> <urn:s1> . <urn:s1> <{D.SLOT_TYPE}> <urn:total> ; <{P.VALUE_PROPERTIES[int]}> 5 .
+        <urn:e2> <{D.EDGE_SOURCE}> <urn:f> ; <{D.EDGE_DEST}> <urn:s2> . <urn:s2> <{D.SLOT_TYPE}> <urn:status> }}"""
+    )
+    s.compact()
+    steps = [
+        "INSERT DATA { <urn:x> <urn:p> 1 }",
+        f"DELETE DATA {{ <urn:s1> <{P.VALUE_PROPERTIES[int]}> 5 }} ; INSERT DATA {{ <urn:s1> <{P.VALUE_PROPERTIES[int]}> 6 }}",
+        f"DELETE {{ <urn:e2> <{D.EDGE_DEST}> ?d }} INSERT {{ <urn:e2> <{D.EDGE_DEST}> <urn:s1> }} WHERE {{ <urn:e2> <{D.EDGE_DEST}> ?d }}",
+        "INSERT DATA { <urn:x> <urn:p> 1 } ; DELETE DATA { <urn:none> <urn:p> 1 }",
+        "CLEAR DEFAULT",
+    ]
+    rows = lambda df: sorted(map(str, (tuple(r) for r in df.collect())))
+    for step in steps:
+        before, base = files_of(tmp_path / "d"), s.manifest().base
+        s.update(step)
+        if s.manifest().base == base:
+            assert set(before) <= set(files_of(tmp_path / "d")) and all(files_of(tmp_path / "d")[f] == t for f, t in before.items())
+        q = s.quads()
+        assert rows(q) == rows(q.distinct())
+        assert rows(s.edges().select("edge", "source", "dest", "g")) == rows(D.edges(q))
+        assert rows(s.slots().select("frame", "slot", "slot_type", "property", "value", "g")) == rows(D.slots(q, P.SLOT_PROPERTIES))
+        assert rows(s.statistics()) == rows(D.predicate_stats(q))
+        if step == steps[0]:
+            assert s.manifest().base == base and ("Iurn:x", "Iurn:p", T.integer(1)) in {tuple(r)[:3] for r in q.collect()}
+    assert s.quads().isEmpty()
+    before = files_of(tmp_path / "d")
+    s.add_namespace("u", "urn:u:")
+    assert files_of(tmp_path / "d") == before and s.manifest().namespaces == {"u": "urn:u:"}
+    late = s.manifest()
+    late.version += 1
+    s._publish(late)
+    with pytest.raises(Exception):
+        s._publish(late)
+
+
+def test_objects_are_created_replaced_and_removed(spark):
+    from quadrille.functions import terms as T
+    from quadrille.operators import derived as D
+    from quadrille.operators import kgobjects as O
+    from quadrille.operators import kgquery as K
+    from quadrille.sources.store import DEFAULT_GRAPH, QUAD_SCHEMA
+
+    i = T.iri
+
+    def graph(*rows):
+        return spark.createDataFrame([(i(s), i(p), o, DEFAULT_GRAPH) for s, p, o in rows], QUAD_SCHEMA)
+
+    def edge(name, a, b):
+        return [(name, D.EDGE_SOURCE, i(a)), (name, D.EDGE_DEST, i(b))]
+
+    e, f, s = ("u:e", T.RDF_TYPE, i(K.ENTITY)), ("u:f", K.FRAME_TYPE, i("u:F")), ("u:s", D.SLOT_TYPE, i("u:S"))
+    quads = graph(e, f, s, *edge("u:ef", "u:e", "u:f"), *edge("u:fs", "u:f", "u:s"))
+    assert O.invalid(quads).isEmpty()
+    assert {(r.entity, r.node) for r in O.graph_members(quads).collect()} == {(i("u:e"), i(x)) for x in ("u:e", "u:f", "u:s", "u:ef", "u:fs")}
+    bad = quads.unionByName(graph(("u:g", K.FRAME_TYPE, i("u:F")), ("u:h", D.EDGE_SOURCE, i("u:nowhere")), ("u:e2", T.RDF_TYPE, i(K.ENTITY)), *edge("u:e2f", "u:e2", "u:f")))
+    assert {(r.node, r.problem) for r in O.invalid(bad).collect()} == {(i("u:g"), "orphan"), (i("u:h"), "dangling"), (i("u:h"), "half"), (i("u:f"), "shared"), (i("u:s"), "shared")}
+    assert O.remove(quads, spark.createDataFrame([(i("u:e"),)], "s string")).isEmpty()
+    assert O.remove(quads, spark.createDataFrame([(i("u:s"),)], "s string")).count() == 4
+    with pytest.raises(ValueError):
+        O.create(quads, graph(("u:e", D.NAME, T.literal("x"))))
+    new = O.replace(quads, graph(("u:f", K.FRAME_TYPE, i("u:G"))))
+    assert {r.o for r in new.where(new.s == i("u:f")).collect()} == {i("u:G")}
+    with pytest.raises(ValueError):
+        O.replace(quads, graph(("u:none", D.NAME, T.literal("x"))), upsert=False)
