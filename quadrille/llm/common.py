@@ -15,6 +15,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import ExitStack, contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +23,18 @@ from pyspark.sql import functions as F
 
 #: Words of the near-duplicate contracts: runs of anything but ASCII white space.
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
+#: Spark's setting that deletes a query's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of Spark's runtime filters: of 4 MB, whatever the input. A filter that has too many keys for that
+#: lets more rows pass, which the join drops.
+PRUNE = {
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1t",
+    "spark.sql.optimizer.runtime.bloomFilter.expectedNumItems": "4000000",
+    "spark.sql.optimizer.runtime.bloomFilter.maxNumItems": "4000000",
+    "spark.sql.optimizer.runtime.bloomFilter.numBits": "33554432",
+}
 #: Rows of text handed to a Python worker at once; texts may be long, so few.
 TEXT_ROWS = 512
 
@@ -52,28 +65,76 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/quadrille-{tag}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends at the files."""
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session setting that holds around eager steps only."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def stored(df: DataFrame, tag: str, prune: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends at the files.
+
+    Shuffle files of the step are deleted when it ends; should an executor be lost before that, Spark
+    computes what is missing again. With ``prune`` Spark may thin the larger side of a shuffled join by a
+    Bloom filter of the other one's keys (see PRUNE), if that one is filtered, as ``keys_of`` does.
+    """
     path = fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    with ExitStack() as held:
+        for name, value in {CLEANUP: "true", **(PRUNE if prune else {})}.items():
+            held.enter_context(setting(df.sparkSession, name, value))
+        df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._quadrille_path = path
     return back
 
 
+def keys_of(df: DataFrame, key: str) -> DataFrame:
+    """The rows of a stored table that have a key, said in a form that Spark counts as a selective filter."""
+    return df.where(F.col(key) <= F.lit((1 << 63) - 1))
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`stored` that nothing reads any more."""
     path = getattr(df, "_quadrille_path", None)
     if path:
-        jvm, jsc = df.sparkSession._jvm, df.sparkSession._jsc
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
+        discard_path(df.sparkSession, path)
 
 
-def reclaim(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished stages: it does so when the driver's JVM collects
-    the objects that stood for them, which a driver with much memory may put off for long."""
-    spark._jvm.System.gc()
+def discard_path(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: A key that more than one in HOT_VALUES of all rows have, and HOT_LEAST rows besides, is joined by
+#: broadcast: there are HOT_VALUES of them at most, whatever the input.
+HOT_VALUES, HOT_LEAST = 8192, 16
+
+
+def spread_join(rows: DataFrame, values: DataFrame, keys: list[str], spread: list[str], total: int, trimmed: dict[str, Column] | None = None) -> DataFrame:
+    """``rows`` left joined with ``values`` (keys, n, other columns; one row a key), of which n rows have a key.
+
+    The few keys that very many rows have are matched by a broadcast of bounded size before the shuffle,
+    and their rows are then dealt by ``spread``, columns that tell rows apart, instead of by the key.
+    ``total`` is the number of rows; ``values`` should be stored, as it is read twice. ``trimmed`` replaces
+    columns before the shuffle and may use ``_hot``, the values of such a key, null for other rows.
+    """
+    others = [c for c in values.columns if c not in (*keys, "n")]
+    often = total // HOT_VALUES + HOT_LEAST
+    named = [F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]
+    hot = values.where(F.col("n") > often).select(*named, F.struct(*others, F.lit(1).alias("_met")).alias("_hot"))
+    marked = rows.join(F.broadcast(hot), [F.col(k) == F.col(f"_key{i}") for i, k in enumerate(keys)], "left").drop(*(f"_key{i}" for i in range(len(keys))))
+    marked = marked.withColumns(trimmed or {})
+    marked = marked.withColumn("_deal", F.when(F.col("_hot").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(*spread)))
+    zero = F.shiftright(F.col("n"), 62).cast("long").alias("_zero")  # 0, but not to the optimizer, which would take it out of the join's key
+    cold = values.where(F.col("n") <= often).select(*named, zero, F.struct(*others, F.lit(1).alias("_met")).alias("_cold"))
+    on = [F.col("_deal") == F.col("_zero"), *(F.col(k) == F.col(f"_key{i}") for i, k in enumerate(keys))]
+    joined = marked.join(cold, on, "left").withColumn("_found", F.when(F.col("_hot").isNotNull(), F.col("_hot")).otherwise(F.col("_cold")))
+    return joined.select(*(F.col(c) for c in rows.columns), *(F.col(f"_found.{c}").alias(c) for c in others), F.col("_found").isNotNull().alias("met"))
 
 
 def ascii_lower(text: Column) -> Column:

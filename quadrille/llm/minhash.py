@@ -11,19 +11,23 @@ so that a pair just at it is missed with probability MISSED at most:
 * threshold 0.8, 18 x 4 with span 4: missed with 9.5e-4 at s = 0.8, 2.4e-4 at 0.82 and 1.8e-5 at 0.85;
   at s = 0.4 a pair meets with probability 0.043. 72 tables in place of 144.
 
-1. Equal shingle sets are one class, whose smallest id represents it; only representatives go on.
-2. Every table entry proposes a link to the smallest and the largest id of its bucket. Proposals are
-   verified on full sets and contracted to components. A bucket whose entries then belong to one
-   component is done, however large it is.
-3. In the buckets that are left, entries outside the bucket's largest component propose links to a
-   member of it drawn by hash, a different one in each table, which joins what a chance leader missed.
-4. In the buckets that are still left, entries outside the largest component meet all entries of other
-   components; in buckets of more than SMALL entries in blocks, whose pairs never become rows: a
-   group of two blocks gives verified links only. Pairs that agree in too few minhashes or differ too much in size are dropped
-   (the agreement bound lies five standard deviations below the threshold); the others are verified
-   on full sets and the links contracted again.
-
-So links within large groups are found without pairing the group, and no bucket is capped.
+1. Equal shingle sets are one class, which stands for all its documents.
+2. Keys are formed only from bands that some other set has too: who shares a table's key shares both of
+   its bands, so nothing is lost, and of a corpus with few copies few keys are left.
+3. Every set proposes two links: of the smallest sets of its buckets, to the smallest of all and to the one
+   it shares most tables with. Proposals are verified on full sets and contracted to components. A bucket
+   whose entries then belong to one component is done, however large it is.
+4. In the buckets that are left, entries outside the bucket's largest component propose links to members of
+   it drawn by hash, DRAWN of them, which joins most of what a chance leader missed.
+5. In the buckets that are still left, entries outside the largest component meet all entries of other
+   components. Buckets of up to SMALL entries list those pairs; larger ones compare in blocks, whose
+   pairs never become rows. Either way decides every pair, so the switch changes the plan and not the
+   result. Pairs that differ too much in size or agree in too few minhashes are dropped (the bound lies
+   5.2 standard deviations below the threshold, so a pair at it is lost with probability 1e-7); the
+   others are verified on full sets and the links contracted again.
+
+So links within large groups are found without pairing the group, and no bucket is capped. Sets are
+computed twice, the second time only for the documents that share a bucket.
 """
 
 from __future__ import annotations
@@ -39,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TEXT_ROWS, discard, reclaim, spaced_words, stored
+from .common import HOT_LEAST, HOT_VALUES, TEXT_ROWS, discard, keys_of, spaced_words, spread_join, stored
 from .components import components
 
 #: Largest probability with which a pair just at the threshold may be missed.
@@ -86,8 +90,10 @@ def bands_for(percent: int) -> Bands:
     return next((b for b in CHOICES if b.missed(percent / 100) <= MISSED), CHOICES[-1])
 
 
-#: Entries up to which a bucket's open pairs are listed, and entries in a block of larger ones.
-SMALL, BLOCK = 8, 512
+#: Members of larger components that an entry is compared with before all of them are.
+DRAWN = 4
+#: Entries up to which a bucket's open pairs are listed; entries and shingles in a block of larger ones.
+SMALL, BLOCK, BLOCK_SHINGLES = 8, 4096, 4 << 20
 
 _W = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 _MEMO = 500_000
@@ -124,6 +130,11 @@ def shingle_set(text: str | None, words_in: int, memo: WordHashes) -> np.ndarray
     return np.unique(total)
 
 
+def set_id(shingles: np.ndarray) -> int:
+    """A signed 64-bit hash of a set."""
+    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
+
+
 def minhashes(shingles: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
     """A minimum for each linear map, in blocks so that long texts need little memory."""
     best = np.full(len(mul), 0xFFFFFFFF, dtype=np.uint32)
@@ -133,11 +144,12 @@ def minhashes(shingles: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndar
     return mix(best.astype(np.uint64) + np.arange(len(mul), dtype=np.uint64) * _W[1])
 
 
-SKETCH = "id long, n long, digest binary, bands array<long>, sketch binary"
+#: A class of equal sets is named by 64 bits of its digest, as shingles are by 64 bits of theirs.
+SKETCH = "doc long, n long, id long, bands array<long>, sketch binary"
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, bands: Bands) -> DataFrame:
-    """For each row its set size, set digest, 2 * halves band hashes and one byte of each minhash."""
+    """For each row its set size, a hash of its set, 2 * halves band hashes and one byte of each minhash."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -148,11 +160,11 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, bands: Ban
         for batch in batches:
             for at in range(0, batch.num_rows, TEXT_ROWS):
                 rows = batch.slice(at, TEXT_ROWS).to_pydict()
-                out: dict = {"id": rows["id"], "n": [], "digest": [], "bands": [], "sketch": []}
+                out: dict = {"doc": rows["doc"], "n": [], "id": [], "bands": [], "sketch": []}
                 for text in rows["text"]:
                     s = shingle_set(text, words, memo)
                     out["n"].append(len(s))
-                    out["digest"].append(xxhash.xxh3_128_digest(s.tobytes()))
+                    out["id"].append(set_id(s))
                     if len(s):
                         low = minhashes(s, *maps)
                         band = np.zeros(2 * bands.halves, dtype=np.uint64)
@@ -165,21 +177,20 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, bands: Ban
                         out["sketch"].append(None)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in schema], schema=schema)
 
-    return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).mapInArrow(run, SKETCH)
+    return docs.select(docs[id_col].cast("long").alias("doc"), docs[text_col].alias("text")).mapInArrow(run, SKETCH)
 
 
-def full_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, shingles binary): the sorted shingle hashes of each row as bytes."""
+def full_sets(docs: DataFrame, text_col: str, words: int) -> DataFrame:
+    """(id, shingles binary): for each row the hash of its set and the sorted shingle hashes as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                sets = [shingle_set(t, words, memo).tobytes() for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, type=pa.binary())], names=["id", "shingles"])
+                sets = [shingle_set(t, words, memo) for t in batch.slice(at, 64).column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(map(set_id, sets), type=pa.int64()), pa.array([s.tobytes() for s in sets], type=pa.binary())], names=["id", "shingles"])
 
-    return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).mapInArrow(run, "id long, shingles binary")
+    return docs.select(docs[text_col].alias("text")).mapInArrow(run, "id long, shingles binary")
 
 
 def agreeing(pairs: DataFrame, reps: DataFrame, percent: int, bands: Bands) -> DataFrame:
@@ -199,35 +210,49 @@ def agreeing(pairs: DataFrame, reps: DataFrame, percent: int, bands: Bands) -> D
     return sized.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def block_links(entries: DataFrame, reps: DataFrame, sets_of, percent: int, bands: Bands) -> DataFrame:
+def block_links(entries: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, bands: Bands) -> DataFrame:
     """Verified links (a, b) between components of large buckets.
 
     Large buckets that share entries are one cluster, so a pair is compared once and not once a table.
-    A cluster is dealt to blocks; a group holds two of them with their full sets, compares sizes and
-    sketches first and then the sets, and gives for each entry one link to each other component.
+    A cluster is dealt to blocks of bounded count and bytes, and a group holds two of them. A first pass
+    compares sizes and sketches alone and names the members that have a possible partner there; only
+    these bring their full sets to the second, which gives for each entry one link to each other component.
     """
     least, hashes = bands.least_agreement(percent), bands.hashes
     hub = entries.groupBy("key").agg(F.min("id").alias("hub"))
     cluster = components(entries.join(hub, "key").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
-    own = stored(entries.select("id", "c").distinct().join(cluster.withColumnRenamed("component", "cluster"), "id"), "clusters")
-    blocks = F.ceil(F.col("members") / BLOCK)
-    counted = own.join(own.groupBy("cluster").agg(F.count("*").alias("members")), "cluster").withColumn("block", F.pmod(F.xxhash64("id"), blocks))
-    rows = counted.join(reps.select("id", F.col("n").alias("size"), "sketch"), "id").join(sets_of(own.select("id")), "id")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    rows = rows.select("cluster", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "id", "c", "size", "sketch", "shingles")
-
-    def compare(part: pd.DataFrame) -> pd.DataFrame:
+    own = entries.select("id", "c").distinct().join(cluster.withColumnRenamed("component", "cluster"), "id")
+    own = stored(own.join(reps.select("id", F.col("n").alias("size"), "sketch"), "id"), "clusters")
+    enough = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("blocks")
+    rows = own.join(own.groupBy("cluster").agg(enough), "cluster").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("cluster", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "id", "c", "size", "sketch")
+
+    def partners(part: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+        """Each member's place with the places of smaller ids of other components that may be near."""
         ids, c, size, block = (part[x].to_numpy() for x in ("id", "c", "size", "block"))
         sketch = np.frombuffer(b"".join(part["sketch"]), dtype=np.uint8).reshape(-1, hashes)
-        sets = [np.frombuffer(x, dtype=np.uint64) for x in part["shingles"]]
         one_block = part["b1"].iloc[0] == part["b2"].iloc[0]
-        found: list[tuple[int, int]] = []
         for i in range(len(ids)):
             other = (c != c[i]) & (ids < ids[i])
             if not one_block:
                 other &= block != block[i]
             near = np.flatnonzero(other & (np.minimum(size, size[i]) * 100 >= np.maximum(size, size[i]) * percent))
             near = near[(sketch[near] == sketch[i]).sum(axis=1) >= least]
+            if len(near):
+                yield i, near
+
+    def needed(part: pd.DataFrame) -> pd.DataFrame:
+        mark = np.zeros(len(part), dtype=bool)
+        for i, near in partners(part):
+            mark[i] = mark[near] = True
+        return part[mark]
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        ids, c, size = (part[x].to_numpy() for x in ("id", "c", "size"))
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in part["shingles"]]
+        found: list[tuple[int, int]] = []
+        for i, near in partners(part):
             reached = set()
             for k in near.tolist():
                 if c[k] not in reached:
@@ -237,13 +262,17 @@ def block_links(entries: DataFrame, reps: DataFrame, sets_of, percent: int, band
                         found.append((ids[i], ids[k]))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return rows.groupBy("cluster", "b1", "b2").applyInPandas(compare, "a long, b long")
+    asked = stored(rows.groupBy("cluster", "b1", "b2").applyInPandas(needed, rows.schema), "blocks")
+    links = stored(asked.join(sets, "id").groupBy("cluster", "b1", "b2").applyInPandas(compare, "a long, b long"), "links")
+    for old in (cluster, own, asked):
+        discard(old)
+    return links
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs with 100 * |intersection| >= percent * |union|, counted on full sets."""
     a, b = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
-    met = pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb")
+    met = a.join(keys_of(pairs, "a"), "a").join(b, "b").select("a", "b", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,39 +286,80 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.mapInArrow(run, "a long, b long")
 
 
+def shared_bands(reps: DataFrame, bands: Bands) -> DataFrame:
+    """(id, first, second): of each set the (place, value) of those bands of either half that another set has too.
+
+    Sets that meet in a table share both of its bands, so dropping the others, before any are combined,
+    loses nothing and leaves few keys.
+    """
+    half = reps.select("id", F.posexplode("bands").alias("p", "x")).withColumn("band", F.xxhash64("p", "x"))
+    counts = stored(half.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "bands")
+    often = 2 * bands.halves * reps.count() // HOT_VALUES + HOT_LEAST
+    hot = counts.where(F.col("n") > often).select("band", F.lit(True).alias("hot"))  # HOT_VALUES rows at most
+    marked = half.join(F.broadcast(hot), "band", "left")
+    rare = marked.where("hot is null").join(keys_of(counts.where(F.col("n") <= often), "band").select("band"), "band", "left_semi")
+    met = stored(rare.unionByName(marked.where("hot")).select("id", "p", "x"), "bands", prune=True)
+    met = met.groupBy("id").agg(F.collect_list(F.struct("p", "x")).alias("met"))  # at most 2 * halves
+    sides = (F.filter("met", lambda b: b["p"] < bands.halves), F.filter("met", lambda b: b["p"] >= bands.halves))
+    kept = stored(met.select("id", sides[0].alias("first"), sides[1].alias("second")).where("size(first) > 0 and size(second) > 0"), "met")
+    discard(counts)
+    return kept
+
+
+def table_entries(reps: DataFrame, bands: Bands) -> DataFrame:
+    """(key, i, id, low): the entries of all buckets that hold several sets, and the smallest of the bucket."""
+    met = shared_bands(reps, bands)
+    one = met.select("id", F.explode("first").alias("f"), "second").select("id", "f", F.explode("second").alias("s"))
+    combined = F.pmod(F.col("s.p") - F.col("f.p"), F.lit(bands.halves)) < bands.span
+    keys = one.where(combined).select("id", F.col("f.p").alias("i"), F.xxhash64("f.p", "s.p", "f.x", "s.x").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
+    entries = stored(keys.join(shared.select("key", "low"), "key"), "buckets")
+    discard(met)
+    return entries
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: id_col, n_shingles, component_id, kept.
 
     Links join rows whose sets have 100 * |A & B| >= percent * |A | B|; component_id is the smallest
-    id reachable by links, kept marks that row. Null and wordless texts have empty sets and link with
-    nothing. A null id gets a null component and is kept. Rows that repeat an id with another text
-    share that id's component, the smallest any of its texts reaches. An empty table gives no rows.
+    id reachable by links, kept marks the rows with that id. Every row is a document of its own, so
+    rows that repeat an id with another text have their own links, and repeated rows one result each.
+    Null and wordless texts have empty sets and link with nothing. A row with a null id links with
+    nothing, its component is null and it is kept. An empty table gives no rows.
     """
-    docs = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
+    docs = docs.select(docs[id_col].cast("long").alias("doc"), docs[text_col].alias("text"))
     bands = bands_for(percent)
-    rows = stored(sketches(docs, "id", "text", words, bands), "sketches")
-    linked = rows.where("n > 0 and id is not null")
-    classes = linked.groupBy("digest").agg(F.min("id").alias("rep"))
-    reps = stored(linked.join(classes, [linked["digest"] == classes["digest"], linked["id"] == classes["rep"]], "left_semi").dropDuplicates(["id", "digest"]), "reps")
-    keys = reps.select("id", F.posexplode(F.slice("bands", 1, bands.halves)).alias("i", "x"), F.slice("bands", bands.halves + 1, bands.halves).alias("second"))
-    combined = F.pmod(F.col("j") - F.col("i"), F.lit(bands.halves)) < bands.span
-    keys = keys.select("id", "i", "x", F.posexplode("second").alias("j", "y")).where(combined).select("id", "i", F.xxhash64("i", "j", "x", "y").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
-    entries = stored(keys.join(shared, "key"), "buckets")
-    reclaim(docs.sparkSession)  # the tables' shuffles are the largest; nothing reads them any more
+    rows = stored(sketches(docs, "doc", "text", words, bands), "sketches")
+    linked = rows.where("n > 0 and doc is not null")
+    # a class of equal sets: its id is a hash of the set, its document the smallest one
+    first = (F.any_value(c).alias(c) for c in ("n", "bands", "sketch"))
+    reps = stored(linked.groupBy("id").agg(F.min("doc").alias("doc"), *first), "reps")
+    entries = table_entries(reps, bands)
+    asked = stored(entries.select("id").distinct(), "asked")
+    met = stored(reps.join(keys_of(asked, "id"), "id", "left_semi").select("id", "n", "sketch", "doc"), "met", prune=True)
+    texts = docs.join(keys_of(met, "doc").select("doc"), "doc", "left_semi")
+    sets = stored(full_sets(texts, "text", words), "sets", prune=True)
+    # rows that repeat, and other texts of an id that was asked for
+    times = linked.groupBy("id", "doc").agg(F.count("*").alias("times")).where("times > 1")
+    if not times.isEmpty() or not linked.groupBy("doc").agg(F.count_distinct("id").alias("texts")).where("texts > 1").isEmpty():
+        sets = stored(sets.dropDuplicates(["id"]).join(met.select("id"), "id", "left_semi"), "sets")
+    temporary = [rows, reps, met, sets, entries, asked]
+
+    def kept(df: DataFrame, tag: str) -> DataFrame:
+        temporary.append(stored(df, tag))
+        return temporary[-1]
 
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
-    def sets_of(ids: DataFrame) -> DataFrame:
-        texts = docs.join(ids.distinct(), "id", "left_semi").join(reps.select("id"), "id", "left_semi").dropDuplicates(["id"])
-        return full_sets(texts, "id", "text", words)
-
     def links(proposed: DataFrame) -> DataFrame:
-        return stored(verified(proposed, sets_of(proposed.select(F.explode(F.array("a", "b")).alias("id"))), percent), "links")
+        temporary.append(stored(verified(proposed, sets, percent), "links", prune=True))
+        return temporary[-1]
 
-    def open_entries(where: DataFrame, found: DataFrame) -> DataFrame:
+    def open_entries(where: DataFrame, links_: DataFrame) -> DataFrame:
         """Entries of buckets with several components, and each bucket's largest one."""
+        found = components(links_)
+        temporary.append(found)
         sized = found.join(found.groupBy("component").agg(F.count("*").alias("size")), "component")
         named = where.join(sized, "id", "left").select("key", "i", "id", F.coalesce("component", "id").alias("c"), F.coalesce("size", F.lit(1)).alias("size"))
         main = F.max(F.struct("size", "c"))["c"].alias("main")
@@ -297,34 +367,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         several = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("in_bucket"), main).where("lo <> hi").select("key", "main", "in_bucket")
         inner = named.join(several, "key")
         leader = inner.where("c = main").groupBy("key").agg(drawn.alias("leader"))
-        return stored(inner.join(leader, "key").select("key", "i", "id", "c", "main", "leader", "in_bucket"), "open")
-
-    star = stored(agreeing(ordered(entries.select(F.col("id").alias("a"), F.explode(F.array("low", "high")).alias("b"))), reps, percent, bands), "proposals")
-    first = links(star)
-    some = open_entries(entries, components(first))
-    drawn = ordered(some.where((F.col("c") != F.col("main")) & (F.col("i") < bands.halves // 2)).select(F.col("id").alias("a"), F.col("leader").alias("b")))
-    drawn = stored(agreeing(drawn.join(star, ["a", "b"], "left_anti"), reps, percent, bands), "proposals")
-    second = links(drawn)
-    reclaim(docs.sparkSession)
-    left_over = open_entries(some.select("key", "i", "id"), components(first.unionByName(second)))
-    small = left_over.where(F.col("in_bucket") <= SMALL)
-    few = small.where("c <> main").select("key", F.col("id").alias("a"), F.col("c").alias("ca"))
-    every = small.select("key", F.col("id").alias("b"), F.col("c").alias("cb"), "main")
-    more = ordered(few.join(every, "key").where("ca <> cb and (cb = main or a < b)").select("a", "b"))
-    more = stored(agreeing(more.join(star.unionByName(drawn), ["a", "b"], "left_anti"), reps, percent, bands), "proposals")
-    linked_pairs = first.unionByName(second).unionByName(links(more))
-    large = left_over.where(F.col("in_bucket") > SMALL)
-    if not large.isEmpty():
-        linked_pairs = linked_pairs.unionByName(stored(block_links(large, reps, sets_of, percent, bands), "links"))
-    same = linked.join(classes, "digest").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    again = linked.groupBy("id").agg(F.count_distinct("digest").alias("d")).where("d > 1").limit(1)
-    discard(entries), discard(some), discard(left_over)
-    if again.isEmpty():
-        # ids have one text each: components over representatives, then copies follow their class
-        over = components(linked_pairs)
-        top = classes.join(over, classes["rep"] == over["id"], "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-        done = rows.join(top, "digest", "left").select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
-    else:
-        over = components(linked_pairs.unionByName(same.select("a", "b")))
-        done = rows.join(over, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component_id"))
-    return done.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+        return kept(inner.join(leader, "key").select("key", "i", "id", "c", "main", "leader", "in_bucket"), "open")
+
+    lows = entries.where("id <> low").groupBy("id", "low").agg(F.count("*").alias("tables"))
+    lows = lows.groupBy("id").agg(F.min("low").alias("least"), F.max_by("low", F.struct("tables", -F.col("low"))).alias("best"))
+    star = kept(agreeing(ordered(lows.select(F.col("id").alias("a"), F.explode(F.array("least", "best")).alias("b"))), met, percent, bands), "proposals")
+    one = links(star)
+    linked_pairs = one
+    some = open_entries(entries, one)
+    if not some.isEmpty():
+        outside = F.col("c") != F.col("main")
+        several = F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("id", "leader"), "leader"))), 1, DRAWN)  # of halves * span at most
+        drawn = some.where(outside).groupBy("id").agg(several.alias("l"))
+        drawn = ordered(drawn.select(F.col("id").alias("a"), F.explode("l.leader").alias("b")))
+        drawn = kept(agreeing(drawn.join(star, ["a", "b"], "left_anti"), met, percent, bands), "proposals")
+        linked_pairs = one.unionByName(links(drawn))
+        left_over = open_entries(some.select("key", "i", "id"), linked_pairs)
+        small, large = left_over.where(F.col("in_bucket") <= SMALL), left_over.where(F.col("in_bucket") > SMALL)
+        few = small.where("c <> main").select("key", F.col("id").alias("a"), F.col("c").alias("ca"))
+        every = small.select("key", F.col("id").alias("b"), F.col("c").alias("cb"), "main")
+        more = ordered(few.join(every, "key").where("ca <> cb and (cb = main or a < b)").select("a", "b"))
+        more = kept(agreeing(more.join(star.unionByName(drawn), ["a", "b"], "left_anti"), met, percent, bands), "proposals")
+        linked_pairs = linked_pairs.unionByName(links(more))
+        if not large.isEmpty():
+            linked_pairs = linked_pairs.unionByName(block_links(large, met, sets, percent, bands))
+    over = components(linked_pairs)
+    temporary.append(over)
+    over = over.join(reps.select("id", "doc"), "id")
+    least = over.groupBy("component").agg(F.min("doc").alias("component_id"))
+    joined = over.join(least, "component").select("id", "component_id")
+    times = linked.groupBy("id").agg(F.count("*").alias("n"))
+    classes = stored(reps.select("id", "doc").join(times, "id").join(joined, "id", "left").select("id", "n", F.coalesce("component_id", "doc").alias("component_id")), "classes")
+    able = (F.col("n") > 0) & F.col("doc").isNotNull()
+    narrow = rows.select("doc", F.col("n").alias("n_shingles"), able.alias("able"), F.when(able, F.col("id")).otherwise(F.xxhash64("doc")).alias("id"))
+    joined = spread_join(narrow, classes, ["id"], ["doc"], rows.count())
+    found = stored(joined.select("doc", "n_shingles", F.when(F.col("able"), F.col("component_id")).otherwise(F.col("doc")).alias("component_id")), "components")
+    for old in (*temporary, classes):
+        discard(old)
+    return found.select(F.col("doc").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("doc") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -160,10 +160,10 @@ def test_license_windows_see_wrapped_notices(spark):
     gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General\nPublic License"
     texts = [bsd, "Licensed under CC\nBY-NC 4.0", gpl, "Released under the BSD license", "Licensed under CC BY 4.0", None, "", "mit " * 500, "x " * 900 + bsd]
     df = spark.createDataFrame(rows_of(texts), SCHEMA)
-    got = {r.doc_id: r for r in license_scan.scan(df, windows=True).collect()}
+    got = {r.doc_id: r for r in license_scan.scan(df).collect()}
     assert [got[i].labels for i in range(9)] == ["bsd", "cc-by-nc", "gpl", "", "", "", "", "", "bsd"]
     assert got[0].score == got[1].score == got[8].score == 1.0 and got[3].score == 0.0
-    assert license_scan.scan(df.limit(0), windows=True).count() == 0
+    assert license_scan.scan(df.limit(0)).count() == 0
 
 
 def test_license_windows_equal_the_sql(spark, tmp_path):
@@ -183,8 +183,8 @@ def test_license_windows_equal_the_sql(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
-    want = sorted(con.execute(f"select {', '.join(names)} from ({ORACLES['op2_license_windows']})").fetchall())
-    got = license_scan.scan(spark.read.parquet(str(tmp_path / "documents.parquet")), windows=True).select(names).collect()
+    want = sorted(con.execute(f"select {', '.join(names)} from ({ORACLES['op2_license_scan']})").fetchall())
+    got = license_scan.scan(spark.read.parquet(str(tmp_path / "documents.parquet"))).select(names).collect()
     assert sorted(map(tuple, got)) == want and len({r.labels for r in got}) > 4
 
 
@@ -288,3 +288,50 @@ def test_pipeline_stages(spark, texts, tmp_path):
     assert len(texts) in seen["language"] and len(texts) not in seen["toxicity"]
     assert set(range(4, 16)) <= set(seen["near duplicates"]) and not set(range(16, 19)) & set(seen["near duplicates"])
     assert seen["mixing"] == seen["encoding"] and max(seen["mixing"].values()) <= 2
+
+
+def linked_by_force(texts, words, percent):
+    """(n_shingles, component) of every text by comparing all pairs."""
+    sets = []
+    for t in texts:
+        w = spaced_words(t)
+        sets.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return [(len(s), find(i)) for i, s in enumerate(sets)]
+
+
+@pytest.mark.parametrize("small", [8, 0, 10_000])
+def test_minhash_large_groups_on_either_side_of_the_switch(spark, monkeypatch, small):
+    """Groups of over 60 copies whose pairs lie around the threshold; lists, blocks and both together."""
+    monkeypatch.setattr(minhash, "SMALL", small)
+    rng = random.Random(17)
+    made = []
+    for size, change in ((70, 0.004), (70, 0.012), (30, 0.02), (12, 0.03)):
+        base = [rng.choice(WORDS) + str(rng.randrange(50)) for _ in range(150)]
+        made += [" ".join(w if rng.random() > change else rng.choice(WORDS) for w in base) for _ in range(size)]
+    want = linked_by_force(made, 3, 85)
+    got = {r.doc_id: r for r in minhash.near_duplicates(spark.createDataFrame(rows_of(made), SCHEMA), words=3, percent=85).collect()}
+    assert [(got[i].n_shingles, got[i].component_id) for i in range(len(made))] == want
+
+
+def test_minhash_repeated_ids_nulls_and_empty(spark):
+    base = [" ".join(f"{w}{k}" for w in WORDS) for k in range(4)]
+    rows = [(1, base[0]), (1, base[0]), (2, base[0]), (2, base[1]), (5, base[1]), (None, base[0]), (7, None), (7, ""), (8, base[2]), (8, base[3]), (9, base[3])]
+    df = spark.createDataFrame([(i, t, "en", "s", "x", "y") for i, t in rows], SCHEMA)
+    got = sorted((tuple(r) for r in minhash.near_duplicates(df).collect()), key=str)
+    n = len(WORDS) - 4
+    want = [(1, n, 1, True), (1, n, 1, True), (2, n, 1, False), (2, n, 2, True), (5, n, 2, False), (None, n, None, True), (7, 0, 7, True), (7, 0, 7, True), (8, n, 8, True), (8, n, 8, True), (9, n, 8, False)]
+    assert got == sorted(want, key=str)
+    assert minhash.near_duplicates(df.limit(0)).count() == 0
