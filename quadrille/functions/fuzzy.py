@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .measures import trigrams
+
 #: Shingle length, permutations, and bands for a candidate threshold near 0.3.
 K, PERMUTATIONS, BANDS = 3, 64, 32
+#: Candidates by bands that are enough to go no further down in shared bands.
+FEWEST = 20
 
 
 def shingles(text: Column, k: int = K) -> Column:
@@ -20,7 +25,10 @@ def shingles(text: Column, k: int = K) -> Column:
 
 
 def minhash(grams: Column, n: int = PERMUTATIONS) -> Column:
-    return F.array(*(F.array_min(F.transform(grams, lambda g, i=i: F.xxhash64(F.lit(i), g))) for i in range(n)))
+    def least(i: int) -> Column:
+        return F.array_min(F.transform(grams, lambda g: F.xxhash64(F.lit(i), g)))
+
+    return F.array(*map(least, range(n)))
 
 
 def bands(signature: Column, n: int = PERMUTATIONS, count: int = BANDS) -> Column:
@@ -65,22 +73,69 @@ def name_score(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([pair_score(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+# The rules of the Metaphone code, applied in order to an upper-case word; what is decided is
+# written in lower case, so that no later rule sees it.
+METAPHONE = [
+    (r"([ABD-Z])\1", "$1"),
+    (r"^X", "s"),
+    (r"^WH", "w"),
+    (r"MB$", "m"),
+    (r"TCH", "x"),
+    (r"SCH", "sk"),
+    (r"CIA", "xA"),
+    (r"CH", "x"),
+    (r"SC(?=[IEY])", "s"),
+    (r"C(?=[IEY])", "s"),
+    (r"CK|C|Q", "k"),
+    (r"DG(?=[EIY])", "j"),
+    (r"D", "t"),
+    (r"GH(?![AEIOU])", ""),
+    (r"GN(?=$|ED$)", "n"),
+    (r"G(?=[IEY])", "j"),
+    (r"G", "k"),
+    (r"PH", "f"),
+    (r"SH|S(?=I[OA])", "x"),
+    (r"T(?=I[OA])", "x"),
+    (r"TH", "0"),
+    (r"(?<=[AEIOU])H(?![AEIOU])", ""),
+    (r"(?<=[ksptxj])H", ""),
+    (r"V", "f"),
+    (r"X", "ks"),
+    (r"Z", "s"),
+    (r"[WY](?![AEIOU])", ""),
+    (r"(?<!^)[AEIOU]", ""),
+]
+
+
+def metaphone(word: Column) -> Column:
+    """Metaphone code of a word of letters."""
+    c = F.upper(word)
+    # of some pairs at the start the first letter is silent
+    c = F.when(F.rlike(c, F.lit("^(?:AE|GN|KN|PN|WR)")), F.substr(c, F.lit(2))).otherwise(c)
+    for pattern, by in METAPHONE:
+        c = F.regexp_replace(c, pattern, by)
+    return F.upper(c)
+
+
+def words_in(text: Column) -> Column:
+    return F.filter(F.split(F.trim(F.regexp_replace(text, r"[^A-Za-z]+", " ")), " "), lambda w: w != "")
+
+
 def phonetic(text: Column) -> Column:
-    """Soundex code of each word."""
-    return F.array_distinct(F.transform(F.split(F.upper(F.trim(F.regexp_replace(text, r"[^A-Za-z]+", " "))), " "), lambda w: F.soundex(w)))
+    """Soundex and Metaphone codes of each word."""
+    words = words_in(text)
+    sounds = F.transform(words, lambda w: F.concat(F.lit("S"), F.soundex(w)))
+    return F.array_distinct(F.concat(sounds, F.transform(words, lambda w: F.concat(F.lit("M"), metaphone(w)))))
 
 
 def level(score: Column) -> Column:
     return F.when(score >= 90, "high").when(score >= 70, "likely").when(score.isNotNull(), "possible")
 
 
-def typo_variants(word: str) -> set[str]:
-    """Strings one edit away: deletions, transpositions, replacements and insertions of a-z."""
-    letters = "abcdefghijklmnopqrstuvwxyz"
-    cuts = [(word[:i], word[i:]) for i in range(len(word) + 1)]
-    out = {a + b[1:] for a, b in cuts if b} | {a + b[1] + b[0] + b[2:] for a, b in cuts if len(b) > 1}
-    out |= {a + c + b[1:] for a, b in cuts if b for c in letters} | {a + c + b for a, b in cuts for c in letters}
-    return out - {word}
+def one_edit_apart(a: Column, b: Column) -> Column:
+    """Whether two words differ by one deletion, insertion, replacement or transposition of neighbours."""
+    swapped = F.exists(F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1))), lambda i: F.concat(F.substr(a, F.lit(1), i - 1), F.substr(a, i + 1, F.lit(1)), F.substr(a, i, F.lit(1)), F.substr(a, i + 2)) == b)
+    return (a != b) & (F.abs(F.length(a) - F.length(b)) <= 1) & ((F.levenshtein(a, b) <= 1) | (F.length(a) == F.length(b)) & swapped)
 
 
 def signed(names: DataFrame, name: str) -> DataFrame:
@@ -94,25 +149,67 @@ def band_index(names: DataFrame, key: str = "id", name: str = "name") -> DataFra
     return rows.select("b.band", "b.hash", "id")
 
 
+def candidates(names: DataFrame, query: str, name: str = "name", fewest: int = FEWEST, most: int | None = None) -> DataFrame:
+    """The rows that may be like the query, with ``_hits`` shared bands and whether a code ``_sounds`` alike.
+
+    Rows that share a phonetic code, or have a word one edit away from a word of the query, count as they
+    are. By bands the strictest number of hits is taken that gives ``fewest`` rows, and of many rows with
+    ``most`` the best. Where nothing is found by these, rows with a trigram in common are taken.
+    """
+    from ..operators.cut import cut
+
+    asked = names.sparkSession.createDataFrame([(query,)], "name string")
+    one = signed(asked, "name").select(bands(F.col("_signature")).alias("b"), phonetic(F.col("name")).alias("p"), trigrams(F.col("name")).alias("t")).first()  # the query's one row
+    words = [w for w in _tokens(query) if w]
+    hashes = {b.band: b.hash for b in one.b}
+    hits = sum((F.element_at("_bands", b + 1)["hash"] == h).cast("int") for b, h in hashes.items())
+    sounds = F.arrays_overlap(phonetic(F.col(name)), F.array(*map(F.lit, one.p))) if one.p else F.lit(False)
+    own = F.regexp_extract_all(F.lower(name), F.lit(r"\w+"), F.lit(0))
+    typo = F.exists(own, lambda w: reduce(lambda x, y: x | y, (one_edit_apart(F.lit(q), w) for q in words))) if words else F.lit(False)
+    rows = signed(names.where(F.col(name).isNotNull()), name).withColumn("_bands", bands(F.col("_signature"))).withColumn("_hits", hits).drop("_bands", "_signature")
+    # written once: a filter on the hits would be pushed below the signature and compute it again for each band
+    rows = cut(rows.withColumn("_sounds", F.coalesce(sounds, F.lit(False))).withColumn("_typo", F.coalesce(typo, F.lit(False))))
+    found = {r["_hits"]: r.n for r in rows.where("_hits > 0").groupBy("_hits").agg(F.count("*").alias("n")).collect()}  # a row a band at most
+    strict, total = 1, 0
+    for strict in sorted(found, reverse=True):
+        total += found[strict]
+        if total >= fewest:
+            break
+    by_band = rows.where(F.col("_hits") >= strict)
+    if most is not None and total > most:
+        by_band = by_band.orderBy(F.desc("_hits")).limit(most)
+    rest = rows.where(F.col("_hits") < strict)
+    chosen = by_band.unionByName(rest.where("_sounds or _typo"))
+    if not found and chosen.isEmpty() and one.t:
+        chosen = rows.where(F.arrays_overlap(trigrams(F.col(name)), F.array(*map(F.lit, one.t))))
+    return chosen.drop("_typo")
+
+
 def find_similar(names: DataFrame, query: str, least: float = 70.0, key: str = "id", name: str = "name") -> DataFrame:
-    """(id, name, score, level) of the names like the query: candidates by bands, phonetic codes or a
-    typo variant, then scored, with 10 points (100 at most) for an equal phonetic code."""
-    spark = names.sparkSession
-    asked = spark.createDataFrame([(0, query)], "id int, name string")
-    hit = F.arrays_overlap(F.col("_bands"), F.col("_q"))
-    sounds = F.arrays_overlap(phonetic(F.col(name)), F.col("_p"))
-    variants = F.lower(F.col(name)).isin(*sorted(v for w in _tokens(query) for v in typo_variants(w))[:2000]) if _tokens(query) else F.lit(False)
-    one = signed(asked, "name").select(bands(F.col("_signature")).alias("_q"), phonetic(F.col("name")).alias("_p"))
-    banded = signed(names, name).withColumn("_bands", bands(F.col("_signature")))
-    rows = banded.crossJoin(F.broadcast(one)).where(hit | sounds | variants)  # the query is one row
-    score = F.least(F.lit(100.0), name_score(F.col(name), F.lit(query)) + F.when(sounds, 10.0).otherwise(0.0))
+    """(id, name, score, level) of the names like the query: candidates by bands, phonetic codes or a typo in
+    a word, then scored, with 10 points (100 at most) for an equal phonetic code."""
+    rows = candidates(names, query, name)
+    score = F.least(F.lit(100.0), name_score(F.col(name), F.lit(query)) + F.when(F.col("_sounds"), 10.0).otherwise(0.0))
     return rows.select(F.col(key).alias("id"), F.col(name).alias("name"), score.alias("score")).where(F.col("score") >= least).withColumn("level", level(F.col("score")))
 
 
 def duplicates(names: DataFrame, least: float = 90.0, key: str = "id", name: str = "name") -> DataFrame:
-    """(a, b, score) of similar names: equal names collapse first, then a self-join over the bands."""
-    one = names.groupBy(F.lower(F.trim(F.col(name))).alias("name")).agg(F.min(key).alias("id"))
+    """(a, b, score) of similar names: equal names collapse first, then names that share bands are scored.
+
+    Pairs are what is asked for, so a table of many names that are all alike gives as many pairs.
+    """
+    one = names.where(F.col(name).isNotNull()).groupBy(F.lower(F.trim(F.col(name))).alias("name")).agg(F.min(key).alias("id"))
     index = band_index(one)
     pairs = index.alias("x").join(index.alias("y"), ["band", "hash"]).where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    scored = pairs.join(one.select(F.col("id").alias("a"), F.col("name").alias("na")), "a").join(one.select(F.col("id").alias("b"), F.col("name").alias("nb")), "b")
-    return scored.select("a", "b", name_score("na", "nb").alias("score")).where(F.col("score") >= least)
+    return _scored(pairs, one).where(F.col("score") >= least)
+
+
+def _scored(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    out = pairs.join(names.select(F.col("id").alias("a"), F.col("name").alias("na")), "a").join(names.select(F.col("id").alias("b"), F.col("name").alias("nb")), "b")
+    return out.select("a", "b", name_score("na", "nb").alias("score"))
+
+
+def scored(names: DataFrame, query: str, least: float = 0.0) -> DataFrame:
+    """(s, fuzzy) of a name index (s, name): scores of the candidates that reach ``least``."""
+    rows = candidates(names, query, "name").select("s", name_score(F.col("name"), F.lit(query)).alias("fuzzy"))
+    return rows.where(F.col("fuzzy") >= least)

@@ -20,10 +20,20 @@ def constant_vector(values: list[float]) -> Column:
     return F.array(*(F.lit(float(v)) for v in values))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity in double precision; null for zero vectors and unequal lengths."""
-    size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when((F.size(a) == F.size(b)) & (size > 0), dot(a, b) / size)
+def cosine(a: Column, b: Column | list[float]) -> Column:
+    """Cosine similarity in double precision; null for zero vectors and unequal lengths.
+
+    Against a constant vector the product and the vector's own square are summed in one pass, and the
+    norm of the constant is computed here.
+    """
+    if not isinstance(b, list):
+        size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+        return F.when((F.size(a) == F.size(b)) & (size > 0), dot(a, b) / size)
+    norm = math.sqrt(math.fsum(v * v for v in b))
+    start = F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("q"))
+    pairs = F.zip_with(a, constant_vector(b), lambda x, y: F.struct(x.cast("double").alias("x"), y.alias("y")))
+    sums = F.aggregate(pairs, start, lambda s, p: F.struct((s["d"] + p["x"] * p["y"]).alias("d"), (s["q"] + p["x"] * p["x"]).alias("q")), lambda s: F.when(s["q"] * F.lit(norm) > 0, s["d"] / (F.sqrt(s["q"]) * F.lit(norm))))
+    return F.when(F.size(a) == len(b), sums)
 
 
 def hashing_embedder(dimensions: int = 64):
@@ -68,14 +78,6 @@ def polygon(wkt: str) -> list[tuple[float, float]]:
     return ring[:-1] if len(ring) > 1 and ring[0] == ring[-1] else ring
 
 
-def point(text: Column) -> tuple[Column, Column]:
-    """(lat, lon) of POINT(lon lat), 'lat,lon' or 'lat lon'."""
-    wkt = r"(?i)POINT\s*\(\s*([-+.\d]+)\s+([-+.\d]+)\s*\)"
-    plain = r"^\s*([-+.\d]+)\s*[,\s]\s*([-+.\d]+)\s*$"
-    number = lambda p, i: F.regexp_extract(text, p, i).try_cast("double")
-    return F.coalesce(number(wkt, 2), number(plain, 1)), F.coalesce(number(wkt, 1), number(plain, 2))
-
-
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 

@@ -30,14 +30,25 @@ HYBRID_DISTANCE = 0.6
 
 @dataclass(frozen=True)
 class Side:
-    """A side table that an expression needs: its kind, index name and subject variable."""
+    """A side table that an expression needs: its kind, index name and subject variable; a fuzzy one holds
+    the scores of the candidates for a query."""
 
     kind: str
     index: str
     var: str
+    query: tuple = ()
 
     def column(self, part: str | None = None) -> str:
-        return f"_side_{self.kind}_{md5(f'{self.index} {self.var}'.encode()).hexdigest()}_{part or self.kind}"
+        return f"_side_{self.kind}_{md5(f'{self.index} {self.var} {self.query}'.encode()).hexdigest()}_{part or self.kind}"
+
+    def table(self, engine):
+        kind = "name" if self.kind == "fuzzy" else self.kind
+        found = engine.indexes[kind, self.index] if (kind, self.index) in engine.indexes else engine.indexes[self.index]
+        if self.kind == "fuzzy":
+            from .fuzzy import scored
+
+            return scored(found, *self.query)
+        return found
 
     def parts(self) -> list[str]:
         return ["lat", "lon"] if self.kind == "geo" else [self.kind]
@@ -61,8 +72,10 @@ def _sides(name: str, args: tuple) -> list[Side]:
         return [Side("text", value_of(args[2]) if len(args) > 2 else DEFAULTS["text"], var)]
     if name == "hybridSearch":
         return [Side("text", value_of(args[2]), var), Side("vector", value_of(args[2]), var)]
-    if name in ("trigramSimilarity", "fuzzyMatch"):
+    if name == "trigramSimilarity":
         return [Side("name", DEFAULTS["name"], var)]
+    if name == "fuzzyMatch":
+        return [Side("fuzzy", DEFAULTS["name"], var, tuple(map(value_of, args[1:3])))]
     if name in ("geoDistance", "withinRadius", "withinBounds", "withinPolygon"):
         return [Side("geo", DEFAULTS["geo"], var)]
     return []
@@ -90,7 +103,7 @@ def _vector(c, text: str) -> list[float]:
 
 
 def _similarity(side: Side, vector: list[float]) -> Column:
-    return M.cosine(F.col(side.column()), M.constant_vector(vector))
+    return M.cosine(F.col(side.column()), [float(v) for v in vector])
 
 
 @extension(NS + "vectorSimilarity")
@@ -146,12 +159,7 @@ def trigram(c, args) -> Val:
 
 @extension(NS + "fuzzyMatch")
 def fuzzy_match(c, args) -> Val:
-    from .fuzzy import name_score
-
-    side = _sides("fuzzyMatch", args)[0]
-    least = value_of(args[2]) if len(args) > 2 else 0.0
-    score = name_score(F.col(side.column()), F.lit(value_of(args[1])))
-    return Val("double", F.when(score >= least, score))
+    return Val("double", F.col(_sides("fuzzyMatch", args)[0].column()))
 
 
 def _place(args) -> tuple[Column, Column]:
@@ -199,7 +207,7 @@ def fused(scores, score_columns: list[str], strategy: str = "weighted_sum", weig
     elif strategy == "ranked":
         parts = []
         for c in score_columns:
-            rows = rows.withColumn(f"_rank_{c}", F.row_number().over(Window.orderBy(F.desc(c), *scores.columns[:1])))
+            rows = ranked(rows, c, scores.columns[0], f"_rank_{c}")
             parts.append(1.0 / (k + F.col(f"_rank_{c}")))
     else:
         raise ValueError(f"unknown strategy {strategy}")
@@ -207,3 +215,17 @@ def fused(scores, score_columns: list[str], strategy: str = "weighted_sum", weig
     for share, part in zip(shares, parts, strict=True):
         total = total + F.lit(share) * part
     return rows.withColumn("score", total).select(*scores.columns, "score")
+
+
+def ranked(rows, score: str, key: str, out: str):
+    """Ranks from 1 by falling score, ties by key: places within range partitions and the counts of those before."""
+    from pyspark.sql import Window
+
+    from ..operators.cut import cut
+
+    # the ranges must not change between the two uses
+    placed = cut(rows.repartitionByRange(F.desc(score), F.asc(key)).withColumn("_part", F.spark_partition_id()))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(F.desc(score), F.asc(key)))
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a partition
+    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).select("_part", F.coalesce("_before", F.lit(0)).alias("_before"))
+    return placed.withColumn("_place", place).join(F.broadcast(before), "_part").withColumn(out, F.col("_place") + F.col("_before")).drop("_part", "_place", "_before")

@@ -30,7 +30,7 @@ class Builder:
         for side in dict.fromkeys(x for e in expressions for x in sides_of(e)):
             if side.column(side.parts()[0]) in df.columns or side.var not in s.reps:
                 continue
-            table = self.engine.indexes[side.kind, side.index] if (side.kind, side.index) in self.engine.indexes else self.engine.indexes[side.index]
+            table = side.table(self.engine)
             key = "_key_" + side.column()
             right = table.select(F.col("s").alias(key), *(F.col(p).alias(side.column(p)) for p in side.parts()))
             df = df.join(right, V.term(s.val(side.var)) == F.col(key), "left").drop(key)

@@ -70,7 +70,12 @@ def test_fuzzy(spark):
     names = spark.createDataFrame([(1, "Acme Corporation"), (2, "ACME Corporatoin"), (3, "Zenith"), (4, "acme corporation ")], "id int, name string")
     assert {r.id for r in fuzzy.find_similar(names, "Acme Corporation", 85).collect()} == {1, 2, 4}
     assert {(r.a, r.b) for r in fuzzy.duplicates(names, 85).collect()} == {(1, 2)}
-    assert "smih" in fuzzy.typo_variants("smith")
+    words = spark.createDataFrame([("smith", w) for w in ("smih", "smtih", "smitth", "smyth", "smith", "smythe", "mith", "htims")], "a string, b string")
+    assert {r.b for r in words.where(fuzzy.one_edit_apart(words["a"], words["b"])).collect()} == {"smih", "smtih", "smitth", "smyth", "mith"}
+    sounds = spark.createDataFrame([("Knight",), ("Philip",), ("Thumb",), ("Catch",), ("Wright",)], "w string")
+    assert [r.m for r in sounds.select(fuzzy.metaphone(sounds["w"]).alias("m")).collect()] == ["NT", "FLP", "0M", "KX", "RT"]
+    long = spark.createDataFrame([(1, "the very long trading name of a compny whose words are many"), (2, "unrelated")], "id int, name string")
+    assert {r.id for r in fuzzy.find_similar(long, "company", 0).collect()} == {1}
 
 
 def test_same_as(spark):
