@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, stored
+from .common import fresh_path, spread_join, stored
 from .shared_files import new_file, opened
 
 CHUNK, SMALLEST, ARCHIVE_BYTES = 64 << 10, 100, 512 << 20
@@ -34,15 +34,22 @@ _DATE = "2000-01-01T00:00:00Z"
 def planned(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, payload, payload_bytes, digest, refers_to); refers_to is null for responses.
 
-    Only payloads that occur more than once are looked up, so a corpus with few copies moves little.
+    Which payloads occur more than once is counted over digests alone. Of a payload that very many pages
+    have, all but the response lose their bytes before anything is shuffled; the other payloads are
+    shuffled once, by digest.
     """
     payload = F.coalesce(pages[html_col], F.lit("")).cast("binary")
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2("payload", 256))
-    large = rows.where(F.col("payload_bytes") >= SMALLEST).select("page_id", "digest")
-    first = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    named = rows.join(first, "digest", "left")
-    revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id")) & (F.col("payload_bytes") >= SMALLEST)
+    large = F.col("payload_bytes") >= SMALLEST
+    every = stored(rows.groupBy(F.when(large, F.col("digest")).alias("key")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")), "payloads")
+    total = every.agg(F.sum("n")).first()[0] or 0
+    # small payloads stand alone; a key of their own deals them out
+    keyed = rows.withColumn("key", F.when(large, F.col("digest")).otherwise(F.concat(F.lit("small "), F.xxhash64("page_id").cast("string"))))
+    known = F.col("_hot").isNotNull() & ~F.col("_hot.first").eqNullSafe(F.col("page_id"))
+    bare = {"payload": F.when(known, F.lit(b"")).otherwise(F.col("payload"))}
+    named = spread_join(keyed, every.where("n > 1 and key is not null"), ["key"], ["page_id"], total, bare)
+    revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
     return named.select("page_id", "url", "payload", "payload_bytes", "digest", F.when(revisit, F.col("first")).alias("refers_to"))
 
 
