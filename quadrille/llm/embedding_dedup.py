@@ -3,22 +3,26 @@
 1. Vectors are dealt to shards of bounded size by a hash of their id. Within a shard they are gathered
    into caps: a centre and the vectors within half the link angle of it, so that every two vectors
    of a cap are linked whatever their number. A group of near copies thus becomes a few caps with counts.
-2. Each shard's cap centres get an HNSW graph. Before it is used, its beam is widened until an audit
-   against brute force finds every neighbour of the sampled centres.
-3. The centres query every shard. Two caps whose angle and radii prove that all or none of their
-   vectors are linked are settled as a whole; in the other pairs, vectors are compared with vectors in
-   blocks. All comparisons that decide are made in double precision.
+2. Each shard's cap centres get an HNSW graph. Its beam is widened until an audit against brute force
+   finds every neighbour of the sampled centres. Graph and centres are written once to the shared folder;
+   rows carry their URI, so that what is shuffled is in proportion to the shards and not to their vectors.
+3. The centres query every shard, their own included, block by block. Each block is audited too: sampled
+   centres of it are held against all centres of the shard, and the beam is widened until none is missed.
+   Two caps whose angle and radii prove that all or none of their vectors are linked are settled as a
+   whole; in the other pairs, vectors are compared with vectors in blocks. All comparisons that decide are
+   made in double precision.
 4. Linked caps are united to components.
 
 So n_links counts every linked pair found without listing the pairs of a group.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and rows
 without an id, link with nothing and are their own component; vectors of different lengths are never
-compared; repeated rows are separate vectors; an empty table gives no rows.
+compared; lengths go up to 2^22; repeated rows are separate vectors; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import io
 import math
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -29,18 +33,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, discard_path, fresh_path, stored
 from .components import components
 from .hnsw import Hnsw
+from .shared_files import new_file, opened
 
 SHARD_ROWS, LEAST_SHARDS = 16_000, 8
 #: Centres in a query block and vectors in a comparison block.
 BLOCK = 2048
 BEAM, AUDITED, RECALL = 24, 64, 0.999
+#: Centres of a query block that are audited against all of a shard.
+ASKED = 32
+#: Ids are made of vector length, shard and place in the shard: 22, 20 and 21 bits.
+PLACE_BITS, SHARD_BITS = 21, 20
 #: Radians by which a proof by angles must hold; what lies within is compared in full.
 SLACK = 1e-6
 
-SHARD_OUT = "kind string, shard long, uid long, vec_id long, cap long, vector binary, radius double, members long, first_id long, blob binary"
+SHARD_OUT = "kind string, shard long, uid long, vec_id long, cap long, vector binary, radius double, members long, first_id long, uri string"
 
 
 @contextmanager
@@ -125,6 +134,49 @@ def audited_beam(graph: Hnsw, x: np.ndarray, wide: float, beam: int = BEAM) -> i
     return min(beam, n)
 
 
+def write_shard(folder: str, graph: Hnsw, caps: np.ndarray, centres: np.ndarray, radius: np.ndarray) -> str:
+    out = io.BytesIO()
+    np.savez(out, graph=np.frombuffer(graph.to_bytes(), dtype=np.uint8), caps=caps, centres=centres, radius=radius)
+    with new_file(folder, ".npz") as (uri, stream):
+        stream.write(out.getvalue())
+    return uri
+
+
+def read_shard(uri: str) -> tuple[Hnsw, np.ndarray, np.ndarray, np.ndarray]:
+    """Graph, cap ids, centres and radii of a shard."""
+    system, path = opened(uri)
+    with system.open_input_file(path) as file, np.load(io.BytesIO(file.read())) as a:
+        return Hnsw.from_bytes(a["graph"].tobytes()), a["caps"], a["centres"], a["radius"]
+
+
+def asked_pairs(graph: Hnsw, own: np.ndarray, q: np.ndarray, wide: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row of ``q``, row of ``own``) that a search of the graph finds.
+
+    A query whose whole beam lies within its cone goes on with a wider one. Sampled queries are held
+    against all rows; as long as one of them misses a row within its cone, all are asked again with a
+    beam twice as wide. A beam as wide as the shard is exhaustive, so this ends.
+    """
+    n = len(own)
+    picked = np.unique(np.linspace(0, len(q) - 1, min(len(q), ASKED)).astype(np.int64))
+    truth = q[picked] @ own.T >= wide[picked, None]
+    while True:
+        found, todo, width = [], np.arange(len(q)), beam
+        while len(todo):
+            ids, sims = graph.search(q[todo], width)
+            full = (sims[:, -1] >= wide[todo] - 1e-4) & (ids[:, -1] >= 0) & (width < n)
+            row, col = np.nonzero((ids >= 0) & ~full[:, None])
+            found.append((todo[row], ids[row, col].astype(np.int64)))
+            todo, width = todo[full], min(n, width * 2)
+        a, b = (np.concatenate([f[j] for f in found]) if found else np.zeros(0, dtype=np.int64) for j in (0, 1))
+        hit = np.zeros_like(truth)
+        at = np.searchsorted(picked, a)
+        seen = (at < len(picked)) & (picked[np.minimum(at, len(picked) - 1)] == a)
+        hit[at[seen], b[seen]] = True
+        if beam >= n or not (truth & ~hit).any():
+            return a, b
+        beam = min(n, beam * 2)
+
+
 def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95) -> DataFrame:
     """id_col, n_links, component_id, kept for every row."""
     spark = table.sparkSession
@@ -134,7 +186,8 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     rows = rows.withColumn("fit", F.coalesce(F.col("vec_id").isNotNull() & fit, F.lit(False)))
     count = rows.where("fit").count()
     shards = max(LEAST_SHARDS, -(-count // SHARD_ROWS))
-    shard = F.size("v").cast("long") * (1 << 20) + F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards))
+    folder = fresh_path(spark, "graphs")
+    shard = F.shiftleft(F.size("v").cast("long"), SHARD_BITS) + F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards))
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
         number = int(part["shard"].iloc[0])
@@ -147,13 +200,15 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
         graph = Hnsw.build(middles)
         wide = math.cos(min(math.pi, theta + 2 * float(reach.max(initial=0)) + SLACK))
         beam = audited_beam(graph, middles, wide)
-        base = number << 32
+        base = number << PLACE_BITS
         members = np.bincount(cap, minlength=len(middles))
         first = np.full(len(middles), np.iinfo(np.int64).max)
         np.minimum.at(first, cap, ids)
         rows = pd.DataFrame({"kind": "row", "uid": base + np.arange(len(ids)), "vec_id": ids, "cap": base + cap, "vector": [v.tobytes() if members[c] > 1 else None for v, c in zip(x, cap, strict=True)]})
         caps = pd.DataFrame({"kind": "cap", "cap": base + np.arange(len(middles)), "vector": [v.tobytes() for v in middles], "radius": reach, "members": members, "first_id": first})
-        index = pd.DataFrame({"kind": ["index"], "blob": [graph.to_bytes()], "radius": [float(reach.max(initial=0))], "members": [beam]})
+        uri = write_shard(folder, graph, base + np.arange(len(middles)), middles, reach)
+        # of an index row: members is its centres, first_id the beam
+        index = pd.DataFrame({"kind": ["index"], "uri": [uri], "radius": [float(reach.max(initial=0))], "members": [len(middles)], "first_id": [beam]})
         frames = []
         for frame in (rows, caps, index):
             # nullable integers before they meet: ids must not pass through floats
@@ -166,42 +221,33 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     fitting = rows.where("fit").select("vec_id", "v", shard.alias("shard"))
     made = stored(fitting.groupBy("shard").applyInPandas(build, SHARD_OUT), "shards")
 
-    # blocks of centres, each sent to its own shard and the later ones of its vector length
+    # every block of centres asks its own shard and the later ones of its vector length
     caps = made.where("kind = 'cap'").select("shard", "cap", "vector", "radius", "members", "first_id")
-    block = F.floor((F.col("cap") - F.shiftleft("shard", 32)) / BLOCK)
-    packed = caps.groupBy("shard", block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("cap", "radius", "vector"))).alias("q"))
-    sent = packed.select(F.col("shard").alias("source"), "q", F.explode(F.sequence("shard", F.shiftleft(F.shiftright("shard", 20), 20) + (shards - 1))).alias("shard"))
-    index = made.where("kind = 'index'").select("shard", "blob", F.col("members").alias("beam"), F.col("radius").alias("widest"))
-    reaches = caps.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("cap", "radius", "vector"))).alias("own"))
-    asked = sent.join(index.join(reaches, "shard"), "shard").select("source", "shard", "q", "blob", "beam", "widest", "own")
+    index = made.where("kind = 'index'").select("shard", "uri", F.col("members").alias("centres"), F.col("first_id").alias("beam"), F.col("radius").alias("widest"))
+    last = F.shiftleft(F.shiftright("shard", SHARD_BITS), SHARD_BITS) + (shards - 1)
+    sent = index.select(F.col("shard").alias("source"), F.col("uri").alias("from_uri"), F.explode(F.sequence(F.lit(0), F.floor((F.col("centres") - 1) / BLOCK).cast("int"))).alias("block"), F.sequence("shard", last).alias("to"))
+    sent = sent.select("source", "from_uri", "block", F.explode("to").alias("shard"))
+    asked = sent.join(index, "shard").select("source", "shard", "from_uri", "block", "uri", "beam", "widest")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded, graph, own_caps, own_radius, own = None, None, None, None, None
+        held: dict[str, tuple] = {}  # the shard asked and the one that asks
 
-        def parts(cell: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            s = cell.values
-            return s.field("cap").to_numpy(), s.field("radius").to_numpy(), np.stack([np.frombuffer(v, dtype=np.float64) for v in s.field("vector").to_pylist()])
+        def shard_of(uri: str, other: str) -> tuple:
+            for old in set(held) - {uri, other}:
+                del held[old]
+            if uri not in held:
+                held[uri] = read_shard(uri)
+            return held[uri]
 
         for batch in batches:
-            for i in range(batch.num_rows):
-                source, target = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                if loaded != target:
-                    loaded, graph = target, Hnsw.from_bytes(batch.column(3)[i].as_py())
-                    own_caps, own_radius, own = parts(batch.column(6)[i])
-                q_caps, q_radius, q = parts(batch.column(2)[i])
-                widest = batch.column(5)[i].as_py()
-                cone = theta + q_radius + widest + SLACK
-                beam, todo = batch.column(4)[i].as_py(), np.arange(len(q))
-                found: list[tuple[np.ndarray, np.ndarray]] = []
-                while len(todo):
-                    ids, sims = graph.search(q[todo], beam)
-                    full = (sims[:, -1] >= np.cos(np.minimum(math.pi, cone[todo])) - 1e-4) & (ids[:, -1] >= 0) & (beam < len(own))
-                    for k in np.flatnonzero(~full):
-                        got = ids[k][ids[k] >= 0]
-                        found.append((np.full(len(got), todo[k]), got))
-                    todo, beam = todo[full], min(len(own), beam * 2)
-                a, b = (np.concatenate([f[j] for f in found]) if found else np.zeros(0, dtype=np.int64) for j in (0, 1))
-                if source == target:
+            for r in batch.to_pylist():
+                graph, own_caps, own, own_radius = shard_of(r["uri"], r["from_uri"])
+                part = slice(r["block"] * BLOCK, (r["block"] + 1) * BLOCK)
+                _, q_caps, q, q_radius = (x if i == 0 else x[part] for i, x in enumerate(shard_of(r["from_uri"], r["uri"])))
+                cone = theta + q_radius + r["widest"] + SLACK
+                wide = np.cos(np.minimum(math.pi, cone))
+                a, b = asked_pairs(graph, own, q, wide, r["beam"])
+                if r["source"] == r["shard"]:
                     keep = own_caps[b] > q_caps[a]
                     a, b = a[keep], b[keep]
                 cos = np.einsum("ij,ij->i", q[a], own[b])
@@ -213,8 +259,9 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
                 keep = all_ | some
                 yield pa.RecordBatch.from_arrays([pa.array(q_caps[a[keep]]), pa.array(own_caps[b[keep]]), pa.array(all_[keep])], names=["a", "b", "whole"])
 
-    with arrow_rows(spark, 1):
-        pairs = stored(asked.repartition(F.col("shard"), F.xxhash64("source", F.element_at("q", 1)["cap"])).mapInArrow(ask, "a long, b long, whole boolean"), "cap-pairs")
+    tasks = max(1, min(shards * (shards + 1) // 2, 8 * spark.sparkContext.defaultParallelism))
+    dealt = asked.repartition(tasks, "shard", "source", "block").sortWithinPartitions("shard", "source", "block")
+    pairs = stored(dealt.mapInArrow(ask, "a long, b long, whole boolean"), "cap-pairs")
 
     # pairs of caps that only their vectors can decide
     single = caps.where("members = 1").select("cap", "vector")
@@ -254,7 +301,10 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     firsts = united.groupBy("component").agg(F.min("first_id").alias("component_id"))
     by_cap = united.join(firsts, "component").join(by_cap, "cap", "left").select("cap", "component_id", (F.col("members") - 1 + F.coalesce("outer", F.lit(0))).alias("inner"))
     done = made.where("kind = 'row'").select("uid", "vec_id", "cap").join(by_cap, "cap").join(by_row, "uid", "left")
-    done = done.select("vec_id", (F.col("inner") + F.coalesce("single", F.lit(0))).alias("n_links"), "component_id")
+    done = stored(done.select("vec_id", (F.col("inner") + F.coalesce("single", F.lit(0))).alias("n_links"), "component_id"), "linked")
+    for old in (made, pairs, unsure, decided, over):
+        discard(old)
+    discard_path(spark, folder)
     unfit = rows.where("not fit").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept")
     return done.unionByName(unfit).select(F.col("vec_id").alias(id_col), "n_links", "component_id", kept)
