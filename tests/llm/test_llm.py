@@ -1,8 +1,4 @@
-"""Training-data operators against brute force, round trips and hand-made cases.
-
-Each operator sees nulls, empty and long texts, repeated rows, an empty table and an extra column
-whose name clashes with internal ones.
-"""
+"""Training-data operators against brute force, round trips and hand-made cases; edge cases are in test_cases.py."""
 
 import hashlib
 import random
