@@ -244,8 +244,8 @@ def equal(a: Val, b: Val) -> Column:
     known = [*T.NUMERICS, *DATES, T.STRING, T.LANG_STRING, T.XSD + "boolean"]
     da, db = datatype(a), datatype(b)
     unlike = F.when(da.isNull() | db.isNull(), False).when(da.isin(*known) & db.isin(*known), False)
-    precise = both_exact(a, b)
-    by_value = F.when(precise, exact(a) == exact(b)).when(num(a).isNotNull() & num(b).isNotNull(), num(a) == num(b)).when(moment(a).isNotNull() & moment(b).isNotNull(), moment(a) == moment(b)).when(truth(a).isNotNull() & truth(b).isNotNull(), truth(a) == truth(b))
+    tests = [F.when(x.isNotNull() & y.isNotNull(), x == y) for x, y in lanes(a, b)]
+    by_value = F.coalesce(*tests) if tests else F.lit(None).cast("boolean")
     return F.coalesce(by_value, F.when(term(a) == term(b), True), F.when(a.col.isNotNull() & b.col.isNotNull(), unlike))
 
 
@@ -253,9 +253,25 @@ def less(a: Val, b: Val) -> Column:
     """a < b of comparable literals, else null."""
     if "number" not in (a.kind, b.kind) and (numbers(a, b) or a.rep() == b.rep() and a.kind in ("string", "dateTime", "bool")):
         return a.col < b.col
-    lanes = [(exact(a), exact(b)), (num(a), num(b)), (moment(a), moment(b)), (truth(a), truth(b))]
-    plain = F.when(kind_is(a, "S") & kind_is(b, "S"), lex(a) < lex(b))
-    return F.coalesce(*(x < y for x, y in lanes), plain)
+    tests = [x < y for x, y in lanes(a, b)]
+    if {a.kind, b.kind} <= {"term", "string"}:
+        tests.append(F.when(kind_is(a, "S") & kind_is(b, "S"), lex(a) < lex(b)))
+    return F.coalesce(*tests) if tests else F.lit(None).cast("boolean")
+
+
+def lanes(a: Val, b: Val) -> list[tuple[Column, Column]]:
+    """Pairs of comparable values, of the types that both may have; integers and decimals before doubles."""
+    native = {a.kind, b.kind} - {"term"}
+    out = []
+    if native <= {*NUMBER_KINDS, "number"}:
+        if "double" not in native:
+            out.append((exact(a), exact(b)))
+        out.append((num(a), num(b)))
+    if native <= {"dateTime"}:
+        out.append((moment(a), moment(b)))
+    if native <= {"bool"}:
+        out.append((truth(a), truth(b)))
+    return out
 
 
 def all_of(conditions: list[Column]) -> Column:

@@ -239,6 +239,11 @@ class Criteria:
         return A.Call("I" + NS + s.function, (e, *(literal(float(x)) if isinstance(x, int | float) else A.Term(T.literal(str(x))) for x in s.args)))
 
 
+def iri_text(v: A.Var) -> A.Call:
+    """The text of a variable that holds IRIs: a sort key without regard to what else a term can be."""
+    return A.Call("STR", (v,))
+
+
 def _run(engine: Engine, pattern, names: list[str]) -> DataFrame:
     s = engine.builder().build(pattern, engine.dataset(A.Query("select", pattern)))
     s = s.select(names)
@@ -266,7 +271,7 @@ def entities(engine: Engine, q: EntityQuery) -> DataFrame:
         side = A.Group(side, [("entity", e)], [(best.name, A.Aggregate("MAX" if s.descending else "MIN", v))])
         pattern = A.LeftJoin(pattern, side)
         keys.append((best, not s.descending))
-    pattern = A.OrderBy(pattern, [*keys, (e, True)])
+    pattern = A.OrderBy(pattern, [*keys, (iri_text(e), True)])
     if q.limit is not None or q.offset:
         pattern = A.Slice(pattern, q.offset, q.limit)
     return _run(engine, pattern, ["entity"])
@@ -316,7 +321,7 @@ def frames(engine: Engine, q: FrameQuery) -> DataFrame:
     names = ["frame"]
     if q.owner is not None:
         pattern, names = A.Join(A.Join(pattern, c.linked(e, f)), c.entity(q.owner, e)), ["frame", "entity"]
-    pattern = A.OrderBy(pattern, [(A.Var(n), True) for n in names])
+    pattern = A.OrderBy(pattern, [(iri_text(A.Var(n)), True) for n in names])
     if q.limit is not None or q.offset:
         pattern = A.Slice(pattern, q.offset, q.limit)
     return _run(engine, pattern, names)
@@ -361,7 +366,7 @@ def documents(engine: Engine, q: DocumentQuery) -> DataFrame:
         if bound is not None:
             pattern = A.Filter(pattern, having(SEGMENT_TOKENS, lambda x, b=bound, s=symbol: A.Call(s, (x, literal(b)))))
     if not q.by_document:
-        return _run(engine, A.OrderBy(pattern, [(e, True)]), ["entity"])
+        return _run(engine, A.OrderBy(pattern, [(iri_text(e), True)]), ["entity"])
     rows = _run(engine, A.Join(pattern, A.BGP([c.triple(e, PARENT, v)])), ["parent", "entity"])
     return rows.groupBy(F.col("parent").alias("document")).agg(F.count_distinct("entity").alias("segments"))
 

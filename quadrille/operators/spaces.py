@@ -52,6 +52,7 @@ class Space:
 
     def __init__(self, spark: SparkSession, root: str, name: str):
         self.spark, self.root, self.name = spark, root.rstrip("/"), name
+        self._stores: dict[bool, tuple[int, QuadStore]] = {}
 
     def _fs(self, path: str):
         where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -153,10 +154,14 @@ class Space:
         return both.groupBy("predicate").agg(F.sum("quads").alias("quads")).where("quads > 0")
 
     def store(self, statistics: bool = False) -> QuadStore:
-        m = self.manifest()
-        most = self.statistics(m).orderBy(F.desc("quads"), "predicate").limit(MOST_PREDICATES)
-        stats = {r.predicate: r.quads for r in most.collect()} if statistics else None
-        return QuadStore(self.quads(m), stats, frozenset(m.graphs), {"edges": self.edges(m), "slots": self.slots(m)})
+        """The current version as a store; as long as there is no newer one, the same plans again."""
+        version = self._versions()[-1]
+        if self._stores.get(statistics, (None,))[0] != version:
+            m = self.manifest()
+            most = self.statistics(m).orderBy(F.desc("quads"), "predicate").limit(MOST_PREDICATES)
+            stats = {r.predicate: r.quads for r in most.collect()} if statistics else None
+            self._stores[statistics] = version, QuadStore(self.quads(m), stats, frozenset(m.graphs), {"edges": self.edges(m), "slots": self.slots(m)})
+        return self._stores[statistics][1]
 
     def _compacted(self, m: Manifest, quads: DataFrame) -> None:
         """Write a snapshot with the tables derived from it, publish it, and delete what it replaces."""
