@@ -33,11 +33,23 @@ def streamed(events: DataFrame, ts: str = "ts", keys: tuple[str, ...] = ("event_
     return rollup(events.withWatermark(ts, LATE), ts, keys, value, every)
 
 
-def stream_to_table(spark, folder: str, schema, name: str, checkpoint: str, **options):
-    """Run the rollup over the files of a folder until all are read; results are in the table ``name``."""
-    stream = streamed(spark.readStream.schema(schema).parquet(folder), **options)
-    query = stream.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def stream_to_table(spark, folder: str, schema, name: str, checkpoint: str, ts: str = "ts", keys: tuple[str, ...] = ("event_type",), value: str = "value", every: str = "1 hour"):
+    """Run the rollup over the files of a folder until all are read; results are in the view ``name``.
+
+    Each micro-batch writes its own buckets, in a folder named by its number, so a batch that is run again
+    replaces what it wrote, and no state is held however late a row is. The view adds the batches up.
+    """
+    target = f"{checkpoint.rstrip('/')}-{name}"
+
+    def put(batch: DataFrame, number: int) -> None:
+        rollup(batch, ts, keys, value, every).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    stream = spark.readStream.schema(schema).parquet(folder)
+    query = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+    parts = spark.read.parquet(target)
+    both = parts.groupBy("bucket", *keys).agg(F.sum("requests").alias("requests"), F.sum("total").alias("total"), F.max("most").alias("most"))
+    both.createOrReplaceTempView(name)
     return spark.table(name)
 
 
