@@ -10,6 +10,7 @@ from ..engine import Engine
 from ..functions import terms as T
 from ..operators import derived as D
 from ..operators import kgquery as K
+from ..operators import analytics as N
 from ..operators import kgobjects as O
 from ..operators.cut import shared_folder
 from ..operators.spaces import Space
@@ -130,3 +131,10 @@ for comparator, value, test in (
     registered(f"kg_slot_{comparator}", lambda e, c=comparator, v=value: K.frames(e, K.FrameQuery(order(K.Slot("urn:status", v, c)))), OF + f" from orders where {test}")
 registered("kg_slot_contains", lambda e: K.frames(e, K.FrameQuery(order(K.Slot("urn:priority", "URGENT", "contains")))), OF + " from orders where contains(lower(o_orderpriority), 'urgent')")
 registered("kg_invalid", lambda e: O.invalid(e.store.quads().where(~F.col("s").startswith("Iurn:oe:")).where("s not like 'Iurn:doc:%' and s not like 'Iurn:seg:%'")).groupBy("problem").agg(F.count("*").alias("nodes")), "select 'orphan' as problem, (select 4 * count(*) + count(case when o_orderstatus = 'P' then 1 end) from orders) as nodes")
+
+registered("analytics_entity_types", lambda e: N.entity_types(e.store.quads()), "select 'urn:segment:' || c_mktsegment as type, count(*) as objects from customer group by 1 union all select 'urn:nation', count(*) from nation")
+registered("analytics_frames_of_entities", lambda e: N.frames_of_entities(e.store.quads(), e.store.derived["edges"]), "select frames, count(*) as entities from (select count(o_orderkey) as frames from customer left join orders on o_custkey = c_custkey group by c_custkey union all select 0 from nation) group by 1")
+registered("analytics_frame_and_slot_types", lambda e: N.frame_and_slot_types(e.store.quads()), "select 'frame' as kind, 'urn:OrderFrame' as type, count(*) as objects from orders union all select 'frame', 'urn:LineFrame', count(*) from orders where o_orderstatus = 'P' union all select 'slot', unnest(['urn:total', 'urn:status', 'urn:priority']), (select count(*) from orders)")
+registered("analytics_frames_without_slots", lambda e: N.frames_without_slots(e.store.quads(), e.store.derived["slots"]), "select count(*) as frames from orders where o_orderstatus = 'P'")
+registered("analytics_relation_types", lambda e: N.relation_types(e.store.quads()), "select 'urn:lives_in' as type, count(*) as objects from customer")
+registered("analytics_properties", lambda e: N.properties(e.store.quads().where(F.col("p").isin(T.iri(D.NAME), T.iri(K.REFERENCE), T.iri(K.VALUE_PROPERTIES[float]), T.iri(K.RELATION_TYPE)))), f"select '{D.NAME}' as predicate, '{T.STRING}' as datatype, (select count(*) from customer) + (select count(*) from nation) as quads, (select count(*) from customer) + (select count(*) from nation) as subjects union all select '{K.REFERENCE}', '{T.STRING}', count(*), count(*) from customer union all select '{K.VALUE_PROPERTIES[float]}', '{T.XSD}double', count(*), count(*) from orders union all select '{K.RELATION_TYPE}', null, count(*), count(*) from customer")
