@@ -138,6 +138,12 @@ sparql(
     "select year(o_orderdate) as y, count(*) as n from orders group by 1",
 )
 sparql("distinct_pairs", "SELECT DISTINCT ?s ?p WHERE { ?o col:o_orderstatus ?s ; col:o_orderpriority ?p }", "select distinct o_orderstatus as s, o_orderpriority as p from orders")
+sparql(
+    "distinct_semi_join",
+    "SELECT DISTINCT ?name ?m WHERE { ?c col:c_name ?name ; col:c_mktsegment ?m . ?o ref:o_custkey ?c ; col:o_totalprice ?t . ?l ref:l_orderkey ?o ; col:l_returnflag \"R\" FILTER(?t > 100000 && ?m != \"BUILDING\") }",
+    "select distinct c_name as name, c_mktsegment as m from customer join orders on o_custkey = c_custkey join lineitem on l_orderkey = o_orderkey where l_returnflag = 'R' and o_totalprice > 100000 and c_mktsegment <> 'BUILDING'",
+    ["customer", "orders", "lineitem"],
+)
 sparql("reduced_segments", "SELECT REDUCED ?m WHERE { ?c col:c_mktsegment ?m }", "select distinct c_mktsegment as m from customer")
 sparql(
     "order_limit_offset",

@@ -220,9 +220,22 @@ class Builder:
         return s.select([*n.names, *inside])
 
     def _distinct(self, n: A.Distinct, data: Dataset) -> Solutions:
-        s = self.build(n.child, data)
+        s = self.witnessed(n.child, data) or self.build(n.child, data)
         return Solutions(s.df.distinct(), s.reps, s.maybe)
 
+    def witnessed(self, n, data: Dataset) -> Solutions | None:
+        """DISTINCT of variables that one side of a join binds: the other side is only asked whether it has a
+        match, so a semi join takes the join's place and rows are not multiplied before they are made distinct."""
+        if not isinstance(n, A.Project) or isinstance(data.graph, A.Var):
+            return None
+        parts = split(n.child, set(n.names))
+        if parts is None:
+            return None
+        left, right = (self.build(p, data) for p in parts)
+        if set(n.names) & left.maybe or not set(left.reps) & set(right.reps):
+            return None
+        return S.semi_join(left, right).select(n.names)
+
     def _orderby(self, n: A.OrderBy, data: Dataset) -> Solutions:
         s = self.build(n.child, data)
         by = [e for e, _ in n.keys]
@@ -248,6 +261,50 @@ class Builder:
         return Solutions(df, s.reps, s.maybe)
 
 
+def split(node, names: set[str]) -> tuple | None:
+    """(pattern that binds all names, pattern that is joined with it), with filters on the side they read."""
+    tests = []
+    if isinstance(node, A.Filter) and not has_exists(node.condition):
+        tests, node = conjuncts(node.condition), node.child
+    if isinstance(node, A.Join):
+        sides = [(node.left, node.right), (node.right, node.left)]
+    elif isinstance(node, A.BGP):
+        stars: dict = {}
+        for t in node.triples:
+            stars.setdefault(t.s, set()).update(x.name for x in (t.s, t.p, t.o) if isinstance(x, A.Var))
+        own, open_ = set(), set(names)
+        # few stars that bind the names, those of subjects among them first
+        for s in sorted(stars, key=lambda s: (not (isinstance(s, A.Var) and s.name in names), -len(stars[s] & names), str(s))):
+            if open_ & stars[s]:
+                own.add(s)
+                open_ -= stars[s]
+        keep = [t for t in node.triples if t.s in own]
+        rest = [t for t in node.triples if t.s not in own]
+        if not rest or not connected(keep) or not connected(rest):
+            return None
+        sides = [(A.BGP(keep), A.BGP(rest))]
+    else:
+        return None
+    for left, right in sides:
+        a, b = set(A.in_scope(left)), set(A.in_scope(right))
+        if not names <= a or not a & b:
+            continue
+        mine, others = [t for t in tests if A.expression_vars(t) <= a], [t for t in tests if not A.expression_vars(t) <= a]
+        if all(A.expression_vars(t) <= b for t in others):
+            return reduce(A.Filter, mine, left), reduce(A.Filter, others, right)
+    return None
+
+
+def connected(triples: list) -> bool:
+    """Whether shared variables tie all triples together."""
+    groups: list[set[str]] = []
+    for t in triples:
+        own = {x.name for x in (t.s, t.p, t.o) if isinstance(x, A.Var)}
+        met = [g for g in groups if g & own]
+        groups = [g for g in groups if not g & own] + [own.union(*met)]
+    return len(groups) <= 1
+
+
 def conjuncts(e) -> list:
     return [*conjuncts(e.args[0]), *conjuncts(e.args[1])] if isinstance(e, A.Call) and e.name == "&&" else [e]
 

@@ -188,3 +188,10 @@ EXPECTED = {
     "SELECT * WHERE { ?x u:age ?a OPTIONAL { ?x u:knows ?y } MINUS { ?y u:name ?n } }": [("u:a", "30", "u:b")],
     "SELECT * WHERE { ?x u:age ?a OPTIONAL { ?x u:knows ?y } FILTER NOT EXISTS { ?y u:name ?n } }": [("u:a", "30", "u:b")],
 }
+
+
+def test_distinct_over_a_join_is_a_semi_join(engine):
+    df = engine.query("SELECT DISTINCT ?x WHERE { ?x u:age ?a . ?y u:knows ?x FILTER(?a > 1) }")
+    assert "LeftSemi" in plan(df) and {r.x for r in df.collect()} == {"u:a", "u:b"}
+    rows = engine.query("SELECT DISTINCT ?x ?y WHERE { ?x u:age ?a . ?y u:knows ?x }").collect()
+    assert {tuple(r) for r in rows} == {("u:a", "u:c"), ("u:b", "u:a"), ("u:c", "u:b")}
