@@ -284,3 +284,71 @@ def test_pipeline_stages_on_hard_and_empty_tables(spark, hard, none, tmp_path):
     assert sum(not (t or "").strip() for t in texts) == 3
     mixed = corpus_pipeline.mix_sources(spark, hard, str(tmp_path))
     assert mixed.columns == hard.columns and {r.doc_id for r in mixed.collect()} <= {r[0] for r in HARD}
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """Every stage worked out row by row in plain Python; the mix by its constraints and its own decisions."""
+    import public_tokenizers
+    import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
+
+    import corpus_pipeline
+    from quadrille.llm.common import crc_mod
+
+    from .test_llm import linked_by_force
+
+    rng = random.Random(23)
+    vocabulary = {"en": [f"the{c}ing" for c in "abcdefghijk"], "de": [f"der{c}ung" for c in "abcdefghijk"]}
+    rows = []
+    for i in range(60):
+        lang = "en" if i % 2 else "de"
+        text = " ".join(rng.choice(vocabulary[lang]) + rng.choice("xyz") for _ in range(25))
+        if i % 9 == 4:
+            text += " you are an idiot"
+        if i % 10 == 7:
+            text = rows[-2][1] + (" end" if i % 20 == 7 else "")
+        rows.append((i, "..." if i == 33 else text, None if i % 13 == 0 else lang, f"s{i % 4}" if i % 5 else None))
+    spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i % 9 == 4)) for i in range(0, 60, 2)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+
+    model = language_id.Classifier(language_id.learn(docs, crc_mod(docs["doc_id"], 4) != 2))
+    left = [r for r in rows if not model.classify(r[1])[2]]
+    assert 33 not in [r[0] for r in left]
+    labels = spark.read.parquet(str(tmp_path / "labels.parquet"))
+    spoken = docs.where(F.col("doc_id").isin([r[0] for r in left]))
+    learned = toxicity.learn(spoken, labels, crc_mod(labels["doc_id"], 3) != 1)
+    words = {t: x for t, x in learned.items() if not t.endswith("*")}
+    assert len(words) == len(learned)  # the plain version below knows whole words
+    left = [r for r in left if by_force(r[1], words) < toxicity.THRESHOLD]
+    groups = linked_by_force([r[1] for r in left], 5, 80)
+    left = [r for i, r in enumerate(left) if groups[i][1] == i]
+    kept = docs.where(F.col("doc_id").isin([r[0] for r in left]))
+    copies = {r.doc_id: r.copies for r in mixing.mix(kept).collect()}
+    targets = {r.source: r.target for r in mixing.mix(kept).collect()}
+    for source, target in targets.items():
+        own = [r for r in left if r[3] == source]
+        assert abs(sum(copies[r[0]] * len(r[1].split()) for r in own) - target) <= max(len(r[1].split()) for r in own)
+    path = public_tokenizers.path(corpus_pipeline.VOCABULARY)
+    coder = tiktoken.Encoding("test", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_tiktoken_bpe(path), special_tokens={})
+    want = sorted((r[0], hashlib.sha256(np.array(coder.encode_ordinary(r[1]), dtype="<u4").tobytes()).hexdigest()) for r in left for _ in range(copies[r[0]]))
+    got = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "ids_sha256").collect()
+    assert sorted(map(tuple, got)) == want and 20 < len({i for i, _ in want}) < 60
+
+
+def test_language_sizes_are_those_of_plain_compression():
+    import zstandard
+
+    rng = random.Random(4)
+    content = {lang: " ".join(rng.choice("abcdefgh") * 3 + lang for _ in range(300)).encode() for lang in ("one", "two")}
+    model = language_id.Classifier(content)
+    for n in (1, 20, 3000):
+        text = " ".join(rng.choice("abcdefgh") * 3 + "two" for _ in range(n))
+        data = language_id.letters(text)
+        sizes = []
+        for lang in content:
+            held = zstandard.ZstdCompressionDict(content[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            plan = zstandard.ZstdCompressionParameters.from_level(language_id.LEVEL, source_size=language_id.BLOCK, dict_size=len(content[lang]), min_match=language_id.SHORTEST_MATCH, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append(sum(len(zstandard.ZstdCompressor(dict_data=held, compression_params=plan).compress(data[i : i + language_id.BLOCK])) for i in range(0, len(data), language_id.BLOCK)))
+        assert model.classify(text)[0] == ["one", "two"][sizes.index(min(sizes))]  # a word alone is a tie
+        assert n == 1 or sizes[1] < sizes[0]
