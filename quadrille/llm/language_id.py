@@ -10,8 +10,9 @@ are compressed in blocks, each against the dictionary anew, and the sizes are ad
 text decides.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0 and rejected; equal
-sizes go to the language with more labelled rows; with no labelled row at all every row is ``und``; repeated
-rows repeat their result; an empty table gives an empty result.
+sizes go to the language with more labelled rows; a language without words of its own has no dictionary
+and still takes part; with no labelled row at all every row is ``und``; repeated rows repeat their result;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -83,9 +84,12 @@ def dictionary(lang: str, used: dict[str, Counter], texts: Counter) -> bytes:
 
 class Classifier:
     def __init__(self, content: dict[str, bytes], level: int = LEVEL):
-        self.names = [name for name, data in content.items() if len(data) >= 8]  # zstandard takes no less
+        self.names = list(content)
         self.coders = []
         for name in self.names:
+            if len(content[name]) < 8:  # zstandard takes no shorter dictionary
+                self.coders.append(zstandard.ZstdCompressor(level=level, write_content_size=False))
+                continue
             made = zstandard.ZstdCompressionDict(content[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             plan = zstandard.ZstdCompressionParameters.from_level(
                 level, source_size=BLOCK, dict_size=len(content[name]), min_match=SHORTEST_MATCH, write_content_size=False, write_checksum=False, write_dict_id=False
