@@ -19,8 +19,6 @@ STRING = XSD + "string"
 # The numeric datatypes of XML Schema, those that act as integers first.
 INTEGERS = [XSD + x for x in "integer int long short byte nonNegativeInteger positiveInteger nonPositiveInteger negativeInteger unsignedLong unsignedInt unsignedShort unsignedByte".split()]
 NUMERICS = [*INTEGERS, XSD + "decimal", XSD + "float", XSD + "double"]
-#: Promotion order of the numeric types.
-RANKS = {**dict.fromkeys(INTEGERS, 0), XSD + "decimal": 1, XSD + "float": 2, XSD + "double": 3}
 
 
 def iri(value: str) -> str:
@@ -56,18 +54,3 @@ def parts(term: str) -> tuple[str, str, str | None, str | None]:
         return "L", body, None, STRING
     tag, _, text = body.partition(" ")
     return ("L", text, tag, LANG_STRING) if head == "G" else ("L", text, None, tag)
-
-
-_ESCAPES = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t"}
-
-
-def to_nt(term: str) -> str:
-    kind, text, lang, datatype = parts(term)
-    if kind == "U":
-        return f"<{text}>"
-    if kind == "B":
-        return f"_:{text}"
-    quoted = '"' + "".join(_ESCAPES.get(c, c) for c in text) + '"'
-    if lang:
-        return f"{quoted}@{lang}"
-    return quoted if datatype == STRING else f"{quoted}^^<{datatype}>"

@@ -280,7 +280,6 @@ def union(a: Solutions, b: Solutions) -> Solutions:
     if not reps:
         return Solutions(a.df.select(F.lit(1).alias("_unit")).unionAll(b.df.select(F.lit(1).alias("_unit"))))
     if not a.reps:
-        left = a.df.select(F.lit(None).cast("string").alias(column_name(next(iter(b.reps)))))
         left = a.df.select(*(F.lit(None).cast(b.df.schema[column_name(v)].dataType).alias(column_name(v)) for v in b.reps))
     if not b.reps:
         right = b.df.select(*(F.lit(None).cast(a.df.schema[column_name(v)].dataType).alias(column_name(v)) for v in a.reps))
