@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, reclaim, stored
+from .common import discard, fresh_path, spread_join, stored
 from .shared_files import RangeReader, new_file
 
 WIDTH = 64
@@ -127,7 +127,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     folder = fresh_path(docs.sparkSession, "media")
     narrow = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, n_bytes long, digest string, shard string, offset long, length long"
+    schema = f"id {kind}, n_bytes long, digest binary, shard string, offset long, length long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards, known = TarShards(folder), {}
@@ -137,16 +137,16 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 out: dict = {"n_bytes": [], "digest": [], "shard": [], "offset": [], "length": []}
                 for text in part.column(1).to_pylist():
                     payload, n = padded(text)
-                    digest = hashlib.sha256(payload).hexdigest()
+                    digest = hashlib.sha256(payload).digest()
                     if digest not in known:
                         image = encode(payload)
-                        known[digest] = (*shards.add(digest, image), len(image))
+                        known[digest] = (*shards.add(digest.hex(), image), len(image))
                     shard, offset, length = known[digest]
                     for k, v in zip(out, (n, digest, shard, offset, length), strict=True):
                         out[k].append(v)
                 if len(known) > 200_000:
                     known.clear()  # a later copy is stored again; the manifest resolves it
-                types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+                types = [pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v, type=t) for v, t in zip(out.values(), types, strict=True))], names=["id", *out])
         shards.close()
 
@@ -154,9 +154,9 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def resolve(manifest: DataFrame) -> DataFrame:
-    """(digest, shard, offset, length): one place for each payload."""
+    """(digest, shard, offset, length, n): one place for each payload, and how many rows have it."""
     place = F.min(F.struct("shard", "offset", "length"))
-    return manifest.groupBy("digest").agg(place.alias("at")).select("digest", "at.*")
+    return manifest.groupBy("digest").agg(place.alias("at"), F.count("*").alias("n")).select("digest", "at.*", "n")
 
 
 def _by_place(places: DataFrame) -> DataFrame:
@@ -174,10 +174,10 @@ def metadata(places: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[i] for f in found], type=pa.int64()) for i in range(3))], names=["digest", "width", "height", "depth"])
         reader.close()
 
-    return _by_place(places).select("digest", "shard", "offset", "length").mapInArrow(run, "digest string, width long, height long, depth long")
+    return _by_place(places).select("digest", "shard", "offset", "length").mapInArrow(run, "digest binary, width long, height long, depth long")
 
 
-FEATURES = "digest string, width long, height long, depth long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+FEATURES = "digest binary, n long, shard string, offset long, length long, width long, height long, depth long, payload_bytes long, payload_sha binary, tail_crc32 long, media_bytes long, media_sha binary, feature string"
 
 
 def features(places: DataFrame) -> DataFrame:
@@ -195,21 +195,26 @@ def features(places: DataFrame) -> DataFrame:
                 width, height, depth = header(reader.read(r["shard"], r["offset"], HEADER_BYTES))
                 data = reader.read(r["shard"], r["offset"], r["length"])
                 payload = decode(data)
-                digest = hashlib.sha256(payload).hexdigest()
+                digest = hashlib.sha256(payload).digest()
                 if digest != r["digest"]:
-                    raise ValueError(f"{r['shard']} at {r['offset']} does not hold {r['digest']}")
-                rows.append((digest, width, height, depth, len(payload), digest, zlib.crc32(payload[-WIDTH:]), len(data), hashlib.sha256(data).hexdigest(), feature(payload)))
+                    raise ValueError(f"{r['shard']} at {r['offset']} does not hold {r['digest'].hex()}")
+                rows.append((digest, r["n"], r["shard"], r["offset"], r["length"], width, height, depth, len(payload), digest, zlib.crc32(payload[-WIDTH:]), len(data), hashlib.sha256(data).digest(), feature(payload)))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], type=f.type) for i, f in enumerate(schema)], schema=schema)
         reader.close()
 
-    return _by_place(places).select("digest", "shard", "offset", "length").mapInArrow(run, FEATURES)
+    return _by_place(places).select("digest", "shard", "offset", "length", "n").mapInArrow(run, FEATURES)
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store every payload, read it back, and give each row the columns of its member."""
+    """Store every payload, read it back, and give each row the columns of its member.
+
+    The tables of places and features are joined when the result is used, so they stay beside the shards.
+    """
     manifest = store(docs, id_col, text_col)
     places = stored(resolve(manifest), "places")
     read = stored(features(places), "features")
-    reclaim(docs.sparkSession)
-    found = read.join(places.select("digest", "shard", "offset", "length"), "digest")
-    return manifest.select(F.col("id").alias(id_col), "n_bytes", "digest").join(found, "digest")
+    discard(places)
+    rows = manifest.select(F.col("id").alias(id_col), "n_bytes", "digest")
+    done = spread_join(rows, read, ["digest"], [id_col], manifest.count())
+    lower = {c: F.lower(F.hex(old)) for c, old in (("payload_sha256", "payload_sha"), ("media_sha256", "media_sha"), ("digest", "digest"))}
+    return done.withColumns(lower).drop("payload_sha", "media_sha", "met")
