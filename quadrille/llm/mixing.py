@@ -39,20 +39,35 @@ def targets(sizes: DataFrame) -> DataFrame:
     Targets are weight * level, capped at MOST * source size; the level is where they sum to SHARE of
     all words. It is found over the sources ordered by the level at which each meets its cap: with the
     first k capped, the rest share what is left, and the first k whose level lies below the next
-    source's is right. The running sums go over one row a source, which is all that is gathered.
+    source's is right. The running sums go over one row a source, range by range.
     """
-    by_source = sizes.groupBy("source").agg(F.sum("size").cast("double").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (rank % len(WEIGHTS) + 1).cast("int"))
-    ranked = by_source.withColumn("w", weight).withColumn("cap", F.col("source_size") * MOST).withColumn("at", F.col("cap") / F.col("w"))
-    before = Window.orderBy("at", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    left = F.sum("source_size").over(everything) * SHARE - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    open_weight = F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0))
-    stepped = ranked.withColumn("level", left / open_weight)
+    by_source = sizes.groupBy("source").agg(F.sum("size").cast("double").alias("source_size"), F.lit(1).alias("one"))
+    ranked = running(by_source, [F.col("source").asc_nulls_last()], ["one"])
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("before_one") % len(WEIGHTS) + 1).cast("int"))
+    capped = ranked.select("source", "source_size", weight.alias("w"), (F.col("source_size") * MOST).alias("cap"))
+    stepped = running(capped.withColumn("at", F.col("cap") / F.col("w")), [F.col("at").asc(), F.col("source").asc_nulls_last()], ["cap", "w"])
+    every = stepped.agg((F.sum("source_size") * SHARE).alias("all_words"), F.sum("w").alias("all_weights"))  # one row
+    stepped = stepped.crossJoin(F.broadcast(every)).withColumn("level", (F.col("all_words") - F.col("before_cap")) / (F.col("all_weights") - F.col("before_w")))
     first = F.when(F.col("level") <= F.col("at"), F.struct("at", F.coalesce("source", F.lit("")), "level"))
-    level = F.min(first).over(everything)["level"]
-    return stepped.select("source", "source_size", F.least("cap", F.col("w") * F.coalesce(level, F.lit(0.0))).alias("target"))
+    found = stepped.agg(F.min(first)["level"].alias("found"))  # one row
+    target = F.least("cap", F.col("w") * F.coalesce("found", F.lit(0.0))).alias("target")
+    return stepped.crossJoin(F.broadcast(found)).select("source", "source_size", target)
+
+
+def running(rows: DataFrame, order: list[Column], sums: list[str]) -> DataFrame:
+    """``rows`` with before_x for each x in ``sums``: its sum over the rows before, in the order given.
+
+    Rows are dealt to ranges, which are stored so that they stay as they are, summed within each, and the
+    totals of the ranges before are added: a row for each range is all that comes together.
+    """
+    dealt = stored(rows.repartitionByRange(*order).withColumn("range_no", F.spark_partition_id()), "ranges")
+    within = Window.partitionBy("range_no").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("range_no").agg(*(F.sum(x).alias(f"sum_{x}") for x in sums))
+    earlier = Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("range_no", *(F.coalesce(F.sum(f"sum_{x}").over(earlier), F.lit(0)).alias(f"past_{x}") for x in sums))
+    joined = dealt.join(F.broadcast(totals), "range_no")
+    out = joined.select(*rows.columns, *((F.coalesce(F.sum(x).over(within), F.lit(0)) + F.col(f"past_{x}")).alias(f"before_{x}") for x in sums))
+    return stored(out, "running")
 
 
 def _draw(level: int, first: Column, second: Column) -> Column:
@@ -105,7 +120,7 @@ def rounded(units: DataFrame) -> DataFrame:
         folded = stored(folded.select("source", "f"), "rounds")
         out = folded.select("source", F.explode("f.out").alias("r")).select("source", "r.h", "r.x")
         units = folded.select("source", "f.h", "f.p", "f.w")
-        if most <= CHUNK or level > 40:
+        if most <= CHUNK:
             last = units.select("source", "h", (_draw(-1, F.col("h"), F.lit(0)) < F.col("p")).cast("int").alias("x"))
             out, units = out.unionByName(last), units.limit(0)
         resolved = out if resolved is None else resolved.unionByName(out)
