@@ -137,6 +137,16 @@ def spread_join(rows: DataFrame, values: DataFrame, keys: list[str], spread: lis
     return joined.select(*(F.col(c) for c in rows.columns), *(F.col(f"_found.{c}").alias(c) for c in others), F.col("_found").isNotNull().alias("met"))
 
 
+#: Rows up to which a stored table of a few narrow columns is broadcast; about the size to which Spark itself does.
+BROADCAST_ROWS = 1_000_000
+
+
+def checked_broadcast(df: DataFrame) -> DataFrame:
+    """A stored table of a few narrow columns, marked for broadcast if it is counted to be small; beyond that
+    Spark joins it by a shuffle."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, UPPER, LOWER)

@@ -1,11 +1,12 @@
 """Quality by co-training of two views.
 
 One classifier sees only a text's content (hashed words and shape), the other only the page's
-metadata: source, language, length and layout of the lines. Both are logistic regressions fitted on a
-bounded sample. In each round every view labels the unlabelled documents it is surest of, the same
-number of each class share, and hands them to the other view's training set. At the end each view
-is calibrated on labelled rows that neither was fitted on, and the calibrated log-odds are added up to
-score all documents.
+metadata: source, language, length and layout of the lines. Both are logistic regressions, fitted first
+on a bounded sample of labelled rows. In each round every view scores all unlabelled documents, labels
+those it is surest of, in the classes' shares, and hands them to the other view's training set; the
+surest are found by a top-k on the executors, and only they reach the driver. At the end each view is
+calibrated on labelled rows that neither was fitted on, and the calibrated log-odds are added up to score
+all documents.
 
 Defined results: null texts count as empty and are scored like any other; null source or language is
 a value of its own; repeated rows repeat their score; without labels of both classes every score is
@@ -22,12 +23,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import checked_broadcast, discard, map_texts, stored
 
-#: Bounds of what is fitted on the driver: labelled and unlabelled rows, drawn by a hash of the id.
-LABELLED_ROWS, UNLABELLED_ROWS = 6_000, 6_000
+#: Bound of the labelled rows that the driver fits on, drawn by a hash of the id.
+LABELLED_ROWS = 6_000
 CONTENT_BUCKETS, META_BUCKETS = 256, 64
 CONTENT_SIZE, META_SIZE = CONTENT_BUCKETS + 8, META_BUCKETS + 8
+#: Rounds, and documents that a view hands over in each.
 ROUNDS, HANDED = 4, 150
 STEPS, RATE, DECAY = 300, 0.5, 1e-3
 
@@ -116,53 +118,105 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def cotrain(labelled: list[np.ndarray], y: np.ndarray, unlabelled: list[np.ndarray], rounds: int = ROUNDS) -> Model:
-    """labelled and unlabelled: a feature matrix for each of the two views."""
+def cotrain(labelled: list[np.ndarray], y: np.ndarray, surest, rounds: int = ROUNDS) -> Model:
+    """labelled: a feature matrix for each of the two views. ``surest(views, wanted)`` gives, for each view
+    and class, the keys, odds and features of the unlabelled rows it is surest of, surest first."""
     prior = float(min(max(y.mean(), 0.01), 0.99)) if len(y) else 0.5
     check = np.arange(len(y)) % 4 == 3  # calibration rows, never fitted
     if len(set(y[~check].tolist())) < 2:
         return Model([], [], prior)
     sets = [[(x[~check], y[~check])] for x in labelled]
-    free = np.ones(len(unlabelled[0]), dtype=bool)
+    taken: set[int] = set()
+    wanted = {1: max(1, round(HANDED * prior)), 0: max(1, round(HANDED * (1 - prior)))}
     views: list[Linear] = []
     for turn in range(rounds + 1):
         views = [Linear.fit(np.concatenate([x for x, _ in s]), np.concatenate([t for _, t in s])) for s in sets]
         if turn == rounds:
             break
+        found = surest(views, wanted, taken)
         for me in (0, 1):
-            odds = views[me].odds(unlabelled[me])
-            for label, n in ((1, max(1, round(HANDED * prior))), (0, max(1, round(HANDED * (1 - prior))))):
-                sure = np.where(free, odds if label else -odds, -np.inf)
-                picked = np.argsort(-sure, kind="stable")[:n]
-                picked = picked[sure[picked] > 0]
-                free[picked] = False
-                sets[1 - me].append((unlabelled[1 - me][picked], np.full(len(picked), label)))
+            for label, n in wanted.items():
+                # what the other view took in this round is left out, for which there are rows enough
+                fresh = [r for r in found.get((me, label), []) if r[0] not in taken][:n]
+                taken |= {key for key, _ in fresh}
+                if fresh:
+                    sets[1 - me].append((np.stack([features[1 - me] for _, features in fresh]), np.full(len(fresh), label)))
     odds = [v.odds(x) for v, x in zip(views, labelled, strict=True)]
     rows = check if len(set(y[check].tolist())) == 2 else np.ones(len(y), dtype=bool)
     return Model(views, [calibrate(o[rows], y[rows]) for o in odds], prior)
 
 
+def unpacked(cell: bytes) -> np.ndarray:
+    return np.frombuffer(cell, dtype=np.float16).astype(np.float64)
+
+
+def surest_rows(pool: DataFrame, views: list[Linear], wanted: dict[int, int], taken: set[int]) -> dict[tuple[int, int], list[tuple[int, tuple]]]:
+    """{(view, label): [(key, features of both views)]}: per view and class the surest rows of the pool, by
+    a top-k in each task and one over the tasks' rows. Twice and what is taken more than wanted are asked
+    for, as the views may choose the same rows."""
+    most = {label: 2 * (wanted[1] + wanted[0]) for label in wanted}
+    gone = np.array(sorted(taken), dtype=np.int64)
+
+    def run(batches):
+        import pyarrow as pa
+
+        best: dict = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                keys = part.column(0).to_numpy()
+                cells = [part.column(1).to_pylist(), part.column(2).to_pylist()]
+                free = ~np.isin(keys, gone)
+                for me in (0, 1):
+                    odds = views[me].odds(np.frombuffer(b"".join(cells[me]), dtype=np.float16).reshape(len(keys), -1).astype(np.float64))
+                    for label, n in most.items():
+                        sure = np.where(free, odds if label else -odds, -np.inf)
+                        have = best.setdefault((me, label), {})
+                        for i in np.argsort(-sure, kind="stable")[:n]:
+                            if sure[i] <= 0:
+                                break
+                            have[int(keys[i])] = (float(sure[i]), cells[0][i], cells[1][i])
+                        if len(have) > 4 * n:
+                            best[me, label] = dict(sorted(have.items(), key=lambda x: (-x[1][0], x[0]))[:n])
+        rows = [(me, label, k, *v) for (me, label), have in best.items() for k, v in sorted(have.items(), key=lambda x: (-x[1][0], x[0]))[: most[label]]]
+        names = ["me", "label", "key", "sure", "content", "meta"]
+        types = [pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=t) for i, t in enumerate(types)], names=names)
+
+    tops = stored(pool.mapInArrow(run, "me int, label int, key long, sure double, content binary, meta binary"), "surest")
+    out: dict = {}
+    for me in (0, 1):
+        for label, n in most.items():
+            one = tops.where((F.col("me") == me) & (F.col("label") == label)).dropDuplicates(["key"])
+            rows = one.orderBy(F.desc("sure"), "key").limit(n).collect()  # a few hundred rows
+            out[me, label] = [(r.key, (unpacked(r.content), unpacked(r.meta))) for r in rows]
+    discard(tops)
+    return out
+
+
 def learn(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", source_col: str = "source", lang_col: str = "lang") -> Model:
-    """Fit on bounded samples; ``training`` is a condition on ``labels``."""
+    """Fit the first views on a bounded sample and co-train over all rows without a label; ``training`` is a
+    condition on ``labels``."""
     marked = labels.where(training & labels[label_col].isNotNull()).groupBy(labels[id_col].alias("id")).agg(F.max(labels[label_col]).cast("int").alias("y"))
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[source_col].alias("source"), docs[lang_col].alias("lang"))
-
-    def part(n: int, most: int) -> Column:
-        return F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < min(1.0, most / max(1, n)) * (1 << 20)
-
-    known = rows.join(marked.where(part(marked.count(), LABELLED_ROWS)), "id")
-    other = rows.join(labels.select(labels[id_col].alias("id")), "id", "left_anti").where(part(docs.count(), UNLABELLED_ROWS)).withColumn("y", F.lit(-1))
+    drawn = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < min(1.0, LABELLED_ROWS / max(1, marked.count())) * (1 << 20)
     content, meta, y, ids = [], [], [], []
-    for r in featured(known.unionByName(other), ("id", "y")).toLocalIterator():
-        content.append(np.frombuffer(r.content, dtype=np.float32))
-        meta.append(np.frombuffer(r.meta, dtype=np.float32))
+    for r in featured(rows.join(F.broadcast(marked.where(drawn)), "id"), ("id", "y")).toLocalIterator():  # LABELLED_ROWS, about
+        content.append(unpacked(r.content))
+        meta.append(unpacked(r.meta))
         y.append(r.y)
         ids.append((r.id is None, r.id or 0, bytes(r.content)))
     order = sorted(range(len(ids)), key=ids.__getitem__)  # the fit does not depend on row order
     if not order:
         return Model([], [], 0.5)
-    views, target = [np.stack([v[i] for i in order]).astype(np.float64) for v in (content, meta)], np.array([y[i] for i in order])
-    return cotrain([v[target >= 0] for v in views], target[target >= 0], [v[target < 0] for v in views])
+    views, target = [np.stack([v[i] for i in order]) for v in (content, meta)], np.array([y[i] for i in order])
+    # features first: if the labels are too many to be broadcast, it is features and no texts that are shuffled
+    named = stored(labels.select(labels[id_col].alias("id")).distinct(), "labelled")
+    other = featured(rows, ("id",)).join(checked_broadcast(named), "id", "left_anti")
+    pool = stored(other.select(F.xxhash64("id", "content", "meta").alias("key"), "content", "meta"), "pool")
+    model = cotrain(views, target, lambda v, wanted, taken: surest_rows(pool, v, wanted, taken))
+    discard(pool), discard(named)
+    return model
 
 
 def featured(rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
@@ -171,8 +225,8 @@ def featured(rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     def make():
         def work(batch: dict) -> dict:
             out = {c: batch[c] for c in keep}
-            out["content"] = [content_features(t).tobytes() for t in batch["text"]]
-            out["meta"] = [meta_features(t, s, x).tobytes() for t, s, x in zip(batch["text"], batch["source"], batch["lang"], strict=True)]
+            out["content"] = [content_features(t).astype(np.float16).tobytes() for t in batch["text"]]
+            out["meta"] = [meta_features(t, s, x).astype(np.float16).tobytes() for t, s, x in zip(batch["text"], batch["source"], batch["lang"], strict=True)]
             return out
 
         return work
@@ -187,6 +241,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def make():
         def work(batch: dict) -> dict:
+            if not batch["id"]:
+                return {"id": [], "score": []}
             content = np.stack([content_features(t) for t in batch["text"]]).astype(np.float64)
             meta = np.stack([meta_features(t, s, x) for t, s, x in zip(batch["text"], batch["source"], batch["lang"], strict=True)]).astype(np.float64)
             return {"id": batch["id"], "score": shared.value.score(content, meta).tolist()}

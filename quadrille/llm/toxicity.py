@@ -148,7 +148,7 @@ def learn(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "d
     rows = marked.groupBy("id").agg(F.max("toxic").alias("toxic"))
     n = max(1, rows.count())
     rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < min(1.0, SAMPLE_ROWS / n) * (1 << 20))
-    base = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(rows, "id").select("toxic", "text")
+    base = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(rows), "id").select("toxic", "text")  # SAMPLE_ROWS, about
 
     def make():
         def work(batch: dict) -> dict:
