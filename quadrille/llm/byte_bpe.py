@@ -176,6 +176,18 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(list(tokens), displacements, slots, pattern)
 
 
+_held: dict[tuple[str, str], Codec] = {}
+
+
+def held_codec(tokens: tuple[bytes, ...], displacements: np.ndarray, slots: np.ndarray, pattern: str) -> Codec:
+    """A codec that a worker process keeps for its next tasks, with the words it has met; one at a time."""
+    key = (hashlib.sha256(displacements.tobytes() + slots.tobytes()).hexdigest(), pattern)
+    if key not in _held:
+        _held.clear()
+        _held[key] = Codec(list(tokens), displacements, slots, pattern)
+    return _held[key]
+
+
 def tokenize(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Encode every whole text and decode the ids again.
 
@@ -187,8 +199,9 @@ def tokenize(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
     narrow = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
 
     def make():
-        tokens, displacements, slots = shared.value
-        c = Codec(list(tokens), displacements, slots, pattern)
+        from quadrille.llm import byte_bpe  # the process's own module: what a function is pickled with does not last
+
+        c = byte_bpe.held_codec(*shared.value, pattern)
 
         def work(batch: dict) -> dict:
             out: dict = {"id": batch["id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": []}
