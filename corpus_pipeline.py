@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.llm import byte_bpe, language_id, minhash, mixing, toxicity
-from quadrille.llm.common import crc_mod, stored, table
+from quadrille.llm.common import checked_broadcast, crc_mod, stored, table
 
 #: The pipeline has no SQL form: compression, learned lexicons and hashes drive its stages. The tests
 #: hold it against a brute-force version instead.
@@ -43,6 +43,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     unique = docs.groupBy(docs["doc_id"]).agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty()
     own = docs["doc_id"] if unique else F.xxhash64(docs["doc_id"], docs["text"])
     gone = minhash.near_duplicates(docs.select(own.alias("doc_id"), docs["text"])).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = checked_broadcast(stored(gone, "gone"))
     rows = docs.select(own.alias("own"), (mixing.word_count(docs["text"]) > 0).alias("worded"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
     rows = rows.join(gone, rows["own"] == gone["gone_id"], "left_anti")
     if not unique:
@@ -58,7 +59,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     the one of them that is taken most. An empty table gives no rows.
     """
     taken = mixing.mix(docs).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"))
-    taken = stored(taken, "copies")
+    taken = checked_broadcast(stored(taken, "copies"))
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), mixing.word_count(docs["text"]).alias("words"))
     same = rows["row.doc_id"].eqNullSafe(taken["doc_id"]) & rows["row.source"].eqNullSafe(taken["source"]) & (rows["words"] == taken["size"])
     repeated = rows.join(taken, same).select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
