@@ -287,22 +287,26 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def shared_bands(reps: DataFrame, bands: Bands) -> DataFrame:
-    """(id, first, second): of each set the (place, value) of those bands of either half that another set has too.
+    """(id, first, second): of each set the (place, hash) of those bands of either half that another set has too.
 
     Sets that meet in a table share both of its bands, so dropping the others, before any are combined,
-    loses nothing and leaves few keys.
+    loses nothing and leaves few keys. Bands are stored one a row: only then can Spark thin them by a
+    Bloom filter before they are shuffled, as it does not look through the generator that lists them.
     """
-    half = reps.select("id", F.posexplode("bands").alias("p", "x")).withColumn("band", F.xxhash64("p", "x"))
+    half = reps.select("id", F.posexplode("bands").alias("p", "x")).select("id", "p", F.xxhash64("p", "x").alias("band"))
+    half = stored(half, "halves")
     counts = stored(half.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "bands")
     often = 2 * bands.halves * reps.count() // HOT_VALUES + HOT_LEAST
     hot = counts.where(F.col("n") > often).select("band", F.lit(True).alias("hot"))  # HOT_VALUES rows at most
     marked = half.join(F.broadcast(hot), "band", "left")
     rare = marked.where("hot is null").join(keys_of(counts.where(F.col("n") <= often), "band").select("band"), "band", "left_semi")
-    met = stored(rare.unionByName(marked.where("hot")).select("id", "p", "x"), "bands", prune=True)
-    met = met.groupBy("id").agg(F.collect_list(F.struct("p", "x")).alias("met"))  # at most 2 * halves
-    sides = (F.filter("met", lambda b: b["p"] < bands.halves), F.filter("met", lambda b: b["p"] >= bands.halves))
-    kept = stored(met.select("id", sides[0].alias("first"), sides[1].alias("second")).where("size(first) > 0 and size(second) > 0"), "met")
+    met = stored(rare.unionByName(marked.where("hot")).select("id", "p", "band"), "bands", prune=True)
+    discard(half)
     discard(counts)
+    listed = met.groupBy("id").agg(F.collect_list(F.struct("p", "band")).alias("met"))  # at most 2 * halves
+    sides = (F.filter("met", lambda b: b["p"] < bands.halves), F.filter("met", lambda b: b["p"] >= bands.halves))
+    kept = stored(listed.select("id", sides[0].alias("first"), sides[1].alias("second")).where("size(first) > 0 and size(second) > 0"), "met")
+    discard(met)
     return kept
 
 
@@ -311,7 +315,7 @@ def table_entries(reps: DataFrame, bands: Bands) -> DataFrame:
     met = shared_bands(reps, bands)
     one = met.select("id", F.explode("first").alias("f"), "second").select("id", "f", F.explode("second").alias("s"))
     combined = F.pmod(F.col("s.p") - F.col("f.p"), F.lit(bands.halves)) < bands.span
-    keys = one.where(combined).select("id", F.col("f.p").alias("i"), F.xxhash64("f.p", "s.p", "f.x", "s.x").alias("key"))
+    keys = one.where(combined).select("id", F.col("f.p").alias("i"), F.xxhash64("f.band", "s.band").alias("key"))
     shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
     entries = stored(keys.join(shared.select("key", "low"), "key"), "buckets")
     discard(met)
@@ -334,6 +338,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a class of equal sets: its id is a hash of the set, its document the smallest one
     first = (F.any_value(c).alias(c) for c in ("n", "bands", "sketch"))
     reps = stored(linked.groupBy("id").agg(F.min("doc").alias("doc"), *first), "reps")
+    wide, rows = rows, stored(rows.select("doc", "n", "id"), "rows")  # bands and sketches are in reps now
+    discard(wide)
+    linked = rows.where("n > 0 and doc is not null")
     entries = table_entries(reps, bands)
     asked = stored(entries.select("id").distinct(), "asked")
     met = stored(reps.join(keys_of(asked, "id"), "id", "left_semi").select("id", "n", "sketch", "doc"), "met", prune=True)

@@ -4,12 +4,13 @@ import hashlib
 import random
 import zlib
 from collections import Counter
+from contextlib import ExitStack
 
 import numpy as np
 import pytest
 
 from quadrille.llm import byte_bpe, embedding_dedup, language_id, license_scan, media, minhash, mixing, quality, toxicity, warc
-from quadrille.llm.common import spaced_words
+from quadrille.llm.common import PRUNE, setting, spaced_words, stored
 from quadrille.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, id string, key string"
@@ -331,3 +332,22 @@ def test_minhash_repeated_ids_nulls_and_empty(spark):
     want = [(1, n, 1, True), (1, n, 1, True), (2, n, 1, False), (2, n, 2, True), (5, n, 2, False), (None, n, None, True), (7, 0, 7, True), (7, 0, 7, True), (8, n, 8, True), (8, n, 8, True), (9, n, 8, False)]
     assert got == sorted(want, key=str)
     assert minhash.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_bands_are_thinned_before_their_shuffle(spark, docs, monkeypatch):
+    """Where the counts are joined by a shuffle, a Bloom filter drops the bands that no other set has before it."""
+    plans = {}
+
+    def seen(df, tag, prune=False):
+        with ExitStack() as held:
+            for name, value in (PRUNE if prune else {}).items():
+                held.enter_context(setting(spark, name, value))
+            plans.setdefault(tag, []).append(df._jdf.queryExecution().optimizedPlan().toString())
+        return stored(df, tag, prune)
+
+    monkeypatch.setattr(minhash, "stored", seen)
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        got = {tuple(r) for r in minhash.near_duplicates(docs, words=3, percent=85).collect()}
+    assert "might_contain" in plans["bands"][1] and "bands" not in plans["rows"][0].split("\n")[0]
+    monkeypatch.undo()
+    assert got == {tuple(r) for r in minhash.near_duplicates(docs, words=3, percent=85).collect()}
