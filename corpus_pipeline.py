@@ -7,12 +7,15 @@ Every stage works on all rows its predecessor kept.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.llm import byte_bpe, language_id, minhash, mixing, toxicity
-from quadrille.llm.common import checked_broadcast, crc_mod, stored, table
+from quadrille.llm.common import checked_broadcast, crc_mod, small_batches, stored, table
 
 #: The pipeline has no SQL form: compression, learned lexicons and hashes drive its stages. The tests
 #: hold it against a brute-force version instead.
@@ -20,19 +23,35 @@ ORACLE_SQL = None
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def in_small_batches(stage: Stage) -> Stage:
+    """The stage with small batches of texts: all stages share the executors, whose memory adds up."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
 
+@in_small_batches
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised clearly."""
     content = language_id.learn(docs, crc_mod(docs["doc_id"], 4) != 2)
     return language_id.filter_identified(docs, content)
 
 
+@in_small_batches
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity grammar scores below its threshold."""
     labels = table(spark, sf_dir, "labels")
     return toxicity.filter_toxic(docs, toxicity.learn(docs, labels, crc_mod(labels["doc_id"], 3) != 1))
 
 
+@in_small_batches
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8).
 
@@ -52,6 +71,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return rows.select("row.*")
 
 
+@in_small_batches
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it: not at all, once or twice.
 
@@ -66,6 +86,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return repeated.select("row.*")
 
 
+@in_small_batches
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian unsigned 32-bit) of every document, with the digests of both directions."""
     return byte_bpe.tokenize(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, with_ids=True)

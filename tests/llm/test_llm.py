@@ -7,10 +7,11 @@ from collections import Counter
 from contextlib import ExitStack
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quadrille.llm import byte_bpe, embedding_dedup, language_id, license_scan, media, minhash, mixing, quality, toxicity, warc
-from quadrille.llm.common import PRUNE, setting, spaced_words, stored
+from quadrille.llm.common import BATCHES, PRUNE, TEXT_ROWS, setting, spaced_words, stored
 from quadrille.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, id string, key string"
@@ -351,3 +352,25 @@ def test_bands_are_thinned_before_their_shuffle(spark, docs, monkeypatch):
     assert "might_contain" in plans["bands"][1] and "bands" not in plans["rows"][0].split("\n")[0]
     monkeypatch.undo()
     assert got == {tuple(r) for r in minhash.near_duplicates(docs, words=3, percent=85).collect()}
+
+
+def test_pipeline_hands_texts_over_in_small_batches(spark, texts, tmp_path):
+    import corpus_pipeline
+
+    def largest() -> int:
+        lengths = spark.range(0, 3000, numPartitions=1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+        return max(r.n for r in lengths.collect())
+
+    docs = spark.createDataFrame(rows_of(texts), SCHEMA)
+    for name in BATCHES:
+        spark.conf.unset(name)
+    try:
+        assert largest() > TEXT_ROWS
+        assert corpus_pipeline.encode(spark, docs, str(tmp_path)).count() == len(texts)
+        assert largest() <= TEXT_ROWS
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")  # a session's own setting stays
+        corpus_pipeline.encode(spark, docs, str(tmp_path))
+        assert largest() == 2000
+    finally:
+        for name in BATCHES:
+            spark.conf.unset(name)
