@@ -3,6 +3,7 @@
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from quadrille import catalog
 from quadrille.engine import Engine
@@ -78,6 +79,25 @@ def test_fuzzy(spark):
     assert {r.id for r in fuzzy.find_similar(long, "company", 0).collect()} == {1}
 
 
+def test_duplicates_of_names_that_are_all_alike(spark):
+    words = ["Supplier", "Inc", "of", "Übersee", "a"]
+    rows = [(i, f"Supplier#{i:09d}") for i in range(300)] + [(1000 + i, f"{i:09d} supplier") for i in range(300)]
+    rows += [(2000 + i, " ".join(words[(i >> b) % 5] for b in range(i % 4 + 1)) + "!" * (i % 3)) for i in range(40)]
+    rows += [(3000, "supplier 000000007 and sons of the sea"), (3001, "###"), (3002, None)]
+    names = spark.createDataFrame(rows, "id int, name string")
+    first = {}
+    for i, n in rows:
+        if n is not None:
+            first.setdefault(n.strip().lower(), i)
+    every = sorted((i, n) for n, i in first.items())
+    want = {(a, b) for k, (a, x) in enumerate(every) for b, y in every[k + 1 :] if fuzzy.pair_score(x, y) >= 99}
+    got = [(r.a, r.b) for r in fuzzy.duplicates(names, 99.0).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and (7, 3000) in want
+    # as many candidates as names, not as pairs of names
+    alike = spark.range(2000).select(F.format_string("%09d supplier", "id").alias("text")).withColumn("words", F.split("text", " "))
+    assert fuzzy.sharing_words(alike, 99.0).count() == 0
+
+
 def test_same_as(spark):
     links = spark.createDataFrame([("a", "b", False), ("b", "c", False), ("x", "y", True)], "source string, target string, retracted boolean")
     assert {tuple(r) for r in canonical(links).collect()} == {("a", "c"), ("b", "c")}
