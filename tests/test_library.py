@@ -6,12 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadrille import catalog
+from quadrille.catalog import kg_catalog
 from quadrille.engine import Engine
 from quadrille.functions import fuzzy
+from quadrille.operators import derived as D
 from quadrille.operators.derived import EDGE_DEST, EDGE_SOURCE, KG, materialised_links, pair_stats
 from quadrille.operators.kgquery import FRAME_TYPE, entity_graph, shared_frames
 from quadrille.operators.registry import by_identifier, canonical, hybrid, related
-from quadrille.operators.spaces import Job, Space
+from quadrille.operators.spaces import SLOT_PROPERTIES, Job, Space
 from quadrille.sources.documents import pieces, segments, to_markdown
 from quadrille.streaming.rollup import rollup, stream_to_table
 
@@ -98,6 +100,19 @@ def test_duplicates_of_names_that_are_all_alike(spark):
     assert fuzzy.sharing_words(alike, 99.0).count() == 0
 
 
+def test_tables_mapped_to_a_graph_are_read_in_place(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    store = kg_catalog.graph(spark, sf_dir)
+    made = {"edges": D.edges(store.quads()), "slots": D.slots(store.quads(), SLOT_PROPERTIES)}
+    for name, rows in made.items():
+        kept = store.derived[name]
+        assert kept.count() == rows.count() > 0 and D.drift(kept, rows, rows.columns).isEmpty()
+    # nothing is copied, and of the tables only those are read that have the predicates
+    page = kg_catalog.QUERIES["kg_entities_page"](spark, sf_dir)
+    assert {f.rsplit("/", 1)[1] for f in page.inputFiles()} <= {"customer.parquet", "nation.parquet"}
+    assert all(f.startswith("file:" + sf_dir) or f.startswith("file://" + sf_dir) for f in page.inputFiles())
+
+
 def test_same_as(spark):
     links = spark.createDataFrame([("a", "b", False), ("b", "c", False), ("x", "y", True)], "source string, target string, retracted boolean")
     assert {tuple(r) for r in canonical(links).collect()} == {("a", "c"), ("b", "c")}
