@@ -208,6 +208,8 @@ def test_objects_are_created_replaced_and_removed(spark):
     assert O.invalid(quads).isEmpty()
     assert {(r.entity, r.node) for r in O.graph_members(quads).collect()} == {(i("u:e"), i(x)) for x in ("u:e", "u:f", "u:s", "u:ef", "u:fs")}
     bad = quads.unionByName(graph(("u:g", K.FRAME_TYPE, i("u:F")), ("u:h", D.EDGE_SOURCE, i("u:nowhere")), ("u:e2", T.RDF_TYPE, i(K.ENTITY)), *edge("u:e2f", "u:e2", "u:f")))
+    problems = O.invalid(bad, D.edges(bad)).collect()  # with the edge table at hand the same, each once
+    assert sorted(map(tuple, problems)) == sorted(map(tuple, O.invalid(bad).collect()))
     assert {(r.node, r.problem) for r in O.invalid(bad).collect()} == {(i("u:g"), "orphan"), (i("u:h"), "dangling"), (i("u:h"), "half"), (i("u:f"), "shared"), (i("u:s"), "shared")}
     assert O.remove(quads, spark.createDataFrame([(i("u:e"),)], "s string")).isEmpty()
     assert O.remove(quads, spark.createDataFrame([(i("u:s"),)], "s string")).count() == 4
