@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators.updates import apply_update, diff
+from ..operators.updates import effects
 from ..sources.rdf_files import parse_lines, to_lines
 from ..sources.star_schema import PREFIXES, star_store
 
@@ -15,7 +15,7 @@ def update(name: str, text: str, oracle: str, tables: tuple[str, ...] = ("nation
 
     def run(spark, sf_dir):
         old = star_store(spark, sf_dir, list(tables)).quads()
-        return diff(old, apply_update(old, text, PREFIXES)[0])
+        return effects(old, text, PREFIXES)
 
     QUERIES[name], ORACLES[name] = run, oracle
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +56,40 @@ def apply_update(quads: DataFrame, text: str, prefixes: dict[str, str] | None =
     return quads, graphs
 
 
+#: Pairs of predicate and graph up to which old quads are thinned to those of the changes.
+MOST_KINDS = 1000
+
+
+def effects(quads: DataFrame, text: str, prefixes: dict[str, str] | None = None, graphs: frozenset[str] = frozenset()) -> DataFrame:
+    """(s, p, o, g, change): what ``;``-separated operations add to a set of quads and remove from it.
+
+    Only what they touch is brought together, the last mark of a quad tells whether it is there, and of the
+    old quads those are looked up that have a predicate and a graph of a touched one.
+    """
+    marks = []
+
+    def touched() -> DataFrame:
+        return reduce(DataFrame.unionByName, marks).groupBy(*KEYS).agg(F.max("mark").alias("mark"))
+
+    there = F.col("mark") % 2 == 1
+    for n, u in enumerate(Parser(text, prefixes).update()):
+        now = quads.select(KEYS)
+        if marks:
+            now = now.join(touched(), KEYS, "left_anti").unionByName(touched().where(there).select(KEYS))
+        removed, added, graphs = changes(now, u, graphs)
+        # what is added wins over what is removed
+        marks += [rows.select(*KEYS, F.lit(2 * n + k).alias("mark")) for k, rows in enumerate((removed, added)) if rows is not None]
+    if not marks:
+        return quads.limit(0).select(*KEYS, F.lit("").alias("change"))
+    kinds = touched().select("p", "g").distinct().limit(MOST_KINDS + 1).collect()
+    old = quads.select(KEYS)
+    if len(kinds) <= MOST_KINDS:
+        old = old.where(F.col("p").isin([r.p for r in kinds]) & F.col("g").isin([r.g for r in kinds]))
+    had = old.join(touched().select(KEYS), KEYS, "left_semi").distinct().withColumn("had", F.lit(True))
+    out = touched().join(had, KEYS, "left").where(there != F.col("had").isNotNull())
+    return out.select(*KEYS, F.when(there, "added").otherwise("removed").alias("change"))
+
+
 def changes(quads: DataFrame, u: A.Update, graphs: frozenset[str], indexes: dict | None = None, embed=None) -> tuple[DataFrame | None, DataFrame | None, frozenset[str]]:
     """(removed, added, graphs) of one operation: quads to take away, then quads to put in, None without any."""
     spark, g = quads.sparkSession, F.col("g")

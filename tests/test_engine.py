@@ -4,9 +4,10 @@ import random
 
 import pytest
 
+from quadrille.catalog import updates_catalog
 from quadrille.engine import Engine
 from quadrille.functions import terms as T
-from quadrille.operators.updates import UpdateError, apply_update
+from quadrille.operators.updates import UpdateError, apply_update, diff, effects
 from quadrille.sources.rdf_files import detect_format, parse_lines, parse_turtle, to_lines
 from quadrille.sources.store import DEFAULT_GRAPH, QUAD_SCHEMA, QuadStore
 
@@ -92,6 +93,21 @@ def test_updates(spark):
         apply_update(q, "CREATE GRAPH <u:g1>")
 
 
+def test_effects_are_what_differs_between_snapshots(spark):
+    old = spark.createDataFrame(DATA, QUAD_SCHEMA)
+    texts = [
+        "DELETE { ?x u:age ?a } INSERT { ?x u:years ?a } WHERE { ?x u:age ?a FILTER(isNumeric(?a)) } ; DELETE WHERE { u:a u:years ?a }",
+        "INSERT DATA { u:c u:name 'Carl' } ; COPY u:g1 TO u:g3 ; DELETE DATA { GRAPH u:g1 { u:a u:knows u:b . u:b u:knows u:c } } ; INSERT DATA { GRAPH u:g1 { u:a u:knows u:b } }",
+        "MOVE u:g2 TO DEFAULT ; CLEAR GRAPH u:g1",
+    ]
+    for text in texts:
+        text = "PREFIX u: <u:> " + text
+        want = diff(old, apply_update(old, text)[0]).collect()
+        assert want and sorted(effects(old, text).collect()) == sorted(want)
+    # no old quad has a graph of what is added, so none is read for the changes
+    assert updates_catalog.QUERIES["with_and_graph"](spark, "/root/testdata/sf0.001").inputFiles() == []
+
+
 def test_files(spark):
     text = 'line "one"\nback\\slash\ttab é'
     quads = [("Iu:a", "Iu:p", T.literal(text), DEFAULT_GRAPH), ("Bx", "Iu:p", T.literal("v", lang="en-gb"), "Iu:g"), ("Iu:a", "Iu:q", T.integer(5), DEFAULT_GRAPH)]
