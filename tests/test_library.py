@@ -1,5 +1,6 @@
 """Spaces, entity resolution, documents and rollups."""
 
+import re
 from datetime import datetime
 
 import pytest
@@ -81,6 +82,25 @@ def test_fuzzy(spark):
     assert {r.id for r in fuzzy.find_similar(long, "company", 0).collect()} == {1}
 
 
+def test_candidates_are_found_by_the_same_numbers_in_python(spark):
+    import random
+
+    draw = random.Random(5)
+    names = ["", " ", "ab", "Ñandú  Straße 東京", "Customer#000000012", "x" * 40]
+    names += ["".join(draw.choice("abcdefghiklmnoprstwyxhHKGCSTE zé12") for _ in range(draw.randint(1, 24))) for _ in range(150)]
+    rows = spark.createDataFrame([(n,) for n in names], "name string")
+    asked = fuzzy.signed(rows.where("name like 'Customer%'"), "name").select("_signature", F.array(*(F.xxhash64(F.lit(i)) for i in range(64))).alias("starts")).first()
+    codes = ["SC235", "MKSTMR", "SS300", "MST"]
+    want = fuzzy.bands(F.array(*map(F.lit, asked["_signature"])))
+    native = F.size(F.array_intersect(fuzzy.bands(F.col("_signature")), want)).alias("hits")
+    both = fuzzy.signed(rows, "name").select("name", native, F.arrays_overlap(fuzzy.phonetic(F.col("name")), F.array(*map(F.lit, codes))).alias("sounds"), fuzzy.phonetic(F.col("name")).alias("codes"))
+    own = rows.select("name", fuzzy.shared_bands(asked["_signature"], asked.starts)(fuzzy.plain_text(F.col("name"))).alias("hits"), fuzzy.sounding_like(codes)(F.col("name")).alias("sounds"))
+    first = both.collect()
+    assert sorted(tuple(r)[:3] for r in first) == sorted(map(tuple, own.collect())) and max(r.hits for r in first) == 32
+    for r in first:
+        assert set(r.codes) == set().union(*map(fuzzy.sounds_of, re.findall("[A-Za-z]+", r["name"])))
+
+
 def test_duplicates_of_names_that_are_all_alike(spark):
     words = ["Supplier", "Inc", "of", "Übersee", "a"]
     rows = [(i, f"Supplier#{i:09d}") for i in range(300)] + [(1000 + i, f"{i:09d} supplier") for i in range(300)]
